@@ -183,25 +183,17 @@ def judge(data: np.ndarray, offs: np.ndarray, order: list[str], min_words: int =
     return out
 
 
-def quality_cascade(df: DataFrame, text_col: str = "text", sample_rows: int = 2000, min_words: int = 20, repeat_percent: int = 30) -> DataFrame:
+def quality_cascade(df: DataFrame, text_col: str = "text", sample_rows: int = 400, min_words: int = 20, repeat_percent: int = 30) -> DataFrame:
     """Adds statistics, base_failed, kept and rejected_by to each row of ``df``; columns of these names are replaced.
 
-    Cost and selectivity of the rules are estimated on at most ``sample_rows`` rows; they only set the order in which
+    Cost and selectivity of the rules are estimated on at most ``sample_rows`` rows (with texts
+    that the driver can hold); they only set the order in which
     the rules run, and a text that a rule rejects isn't shown to later ones. ``kept`` doesn't depend on the order.
     Null and empty texts have no words and fail; repeated rows are judged alike; an empty table gives an empty result.
     """
     ship(df.sparkSession)
 
-    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, room = [], 8 << 20  # the sample is for timing alone; no more of it than this is held
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                if room > 0:
-                    texts.append(x)
-                    room -= len(x or "")
-        yield pa.RecordBatch.from_arrays([pa.array(rule_order(texts), pa.string())], ["rule"])
-
-    order = [r.rule for r in df.select(text_col).limit(sample_rows).coalesce(1).mapInArrow(ordered, "rule string").collect()] or list(RULES)
+    order = rule_order([r[0] for r in df.select(text_col).where(F.length(text_col) <= 20_000).take(sample_rows)])
     keep = [c for c in df.columns if c not in NAMES]
     carried = [c for c in keep if c != text_col]
     src = df.select(*[F.col(f"`{c}`") for c in keep])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, tokens, url_filter
+from . import classifier, packing, quality_rules, tokens, toxicity, url_filter, warc
+from .common import Scratch
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -29,6 +30,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(docs, vocabulary()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    archives = warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), scratch)
+    return warc.read_archives(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_cascade(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -38,4 +45,19 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_token_counts, op6_quality_rules, op8_url_filters)}
+def scored(spark: SparkSession, sf_dir: str, column: str, folds: int, test: int, score) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    train = classifier.training_rows(table(spark, sf_dir, "labels"), column, folds, test)
+    held_out = (classifier.fold_of(F.col("doc_id"), folds) == test).alias("held_out")
+    return score(docs, train, Scratch(spark)).select("doc_id", held_out, "score", "predicted")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(spark, sf_dir, "quality", 5, 0, classifier.score_quality)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(spark, sf_dir, "toxic", 3, 1, toxicity.score_toxicity)
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op3_token_counts, op5_warc, op6_quality_rules, op8_url_filters, op9_quality_classifier, op10_toxicity)}

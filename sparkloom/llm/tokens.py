@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -98,22 +97,17 @@ def frequent_words(df: DataFrame, text_col: str, path: str, sample_docs: int, si
     """Token counts of the most frequent words of a few documents, at most ``size`` entries.
 
     The table only saves work: a word that isn't in it is encoded where it is met, so the sample changes no result.
+    It is taken from the first partitions, of texts short enough that the driver holds little.
     """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for b in batches:
-            texts = [t for t in b.column(0).to_pylist() if t and not UNSAFE.search(t)]
-            seen.update(chain.from_iterable(t.lower().split() for t in texts))
-        enc = encoder(path, "count")
-        top = [w for w, _ in seen.most_common(size)]
-        yield pa.RecordBatch.from_arrays([pa.array(top, pa.string()), pa.array([enc.words[w] for w in top], pa.int32())], ["word", "n"])
-
-    rows = df.select(text_col).limit(sample_docs).coalesce(1).mapInArrow(count, "word string, n int").limit(size).collect()
-    return {r.word: r.n for r in rows}
+    seen: Counter = Counter()
+    for (text,) in df.select(text_col).where(F.length(text_col) <= 20_000).take(sample_docs):
+        if not UNSAFE.search(text):
+            seen.update(text.lower().split())
+    enc = encoder(path, "count")
+    return {w: enc.words[w] for w, _ in seen.most_common(size)}
 
 
-def count_tokens(df: DataFrame, tokenizer: str, text_col: str = "text", limit: int = 2048, sample_docs: int = 2000, table_size: int = 20_000) -> DataFrame:
+def count_tokens(df: DataFrame, tokenizer: str, text_col: str = "text", limit: int = 2048, sample_docs: int = 400, table_size: int = 20_000) -> DataFrame:
     """Adds n_bytes, n_tokens and over_limit to each row of ``df``; columns of these names are replaced.
 
     A word is looked up in a broadcast table of frequent words (at most ``table_size`` entries, from ``sample_docs``
