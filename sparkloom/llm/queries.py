@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, packing, quality_rules, tokens, toxicity, url_filter, warc
+from . import classifier, decontam, near_dedup, packing, quality_rules, tokens, toxicity, url_filter, warc
 from .common import Scratch
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -21,6 +21,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs, Scratch(spark), k=3, percent=85)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -30,6 +35,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(docs, vocabulary()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     archives = warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), scratch)
@@ -60,4 +69,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir, "toxic", 3, 1, toxicity.score_toxicity)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_token_counts, op5_warc, op6_quality_rules, op8_url_filters, op9_quality_classifier, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_token_counts, op4_decontamination, op5_warc, op6_quality_rules, op8_url_filters, op9_quality_classifier, op10_toxicity)}
