@@ -161,3 +161,19 @@ def score_quality(docs: DataFrame, train: DataFrame, scratch: Scratch, threshold
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return stats.mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, train: DataFrame, scratch: Scratch, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) with a score of ``threshold`` or more, with all their columns.
+
+    Texts are judged where they stand: nothing but statistics and labels is shuffled.
+    """
+    model = fit(scratch.save(document_statistics(docs), "statistics"), train)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offs = utf8(b.column(b.schema.get_field_index(text_col)))
+            for i, j, d, o in slices(data, offs):
+                yield b.slice(i, j - i).filter(pa.array(model.score(statistics(d, o)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

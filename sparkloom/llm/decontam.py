@@ -153,14 +153,41 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: flo
 
         return src.mapInArrow(run, schema)
 
-    found, ids, texts = [], [], []
-    rows = benchmark.select(F.col(f"`{item_col}`").cast("long"), F.col(f"`{item_text}`")).toLocalIterator()
-    for item, text in rows:
+    found = [finder(items) for items in item_blocks(benchmark, k, radius, block_items, item_col, item_text)]
+    return reduce(DataFrame.unionAll, found)
+
+
+def item_blocks(benchmark: DataFrame, k: int, radius: int, block_items: int, item_col: str, item_text: str) -> Iterator[Items]:
+    """The items, ``block_items`` at a time; one empty block where there are none."""
+    ids, texts, any_ = [], [], False
+    for item, text in benchmark.select(F.col(f"`{item_col}`").cast("long"), F.col(f"`{item_text}`")).toLocalIterator():
         ids.append(item)
         texts.append(text)
         if len(ids) == block_items:
-            found.append(finder(Items(ids, texts, k, radius)))
-            ids, texts = [], []
-    if ids or not found:
-        found.append(finder(Items(ids, texts, k, radius)))
-    return reduce(DataFrame.unionAll, found)
+            yield Items(ids, texts, k, radius)
+            ids, texts, any_ = [], [], True
+    if ids or not any_:
+        yield Items(ids, texts, k, radius)
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 22, block_items: int = 20_000, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns; see ``find_leaks``. Nothing is shuffled."""
+    ship(docs.sparkSession)
+
+    def without(df: DataFrame, items: Items) -> DataFrame:
+        shared = df.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = shared.value
+            for b in batches:
+                clean = np.ones(b.num_rows, bool)
+                if len(own.known):
+                    for i, _, h, _, cut in text_shingles(b.column(b.schema.get_field_index(text_col)), k):
+                        total = np.concatenate([[0], np.cumsum(own.hits(h))])
+                        for n in np.flatnonzero(total[cut[1:]] > total[cut[:-1]]):
+                            clean[i + n] = not own.find(h[cut[n] : cut[n + 1]], threshold)
+                yield b.filter(pa.array(clean))
+
+        return df.mapInArrow(run, df.schema)
+
+    return reduce(without, item_blocks(benchmark, k, radius, block_items, item_col, item_text), docs)

@@ -170,7 +170,7 @@ def verify(rows: DataFrame, k: int, percent: int, parts: int) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, id_col: str = "doc_id", text_col: str = "text", least_block: int = 64, most_block: int = 2048) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of ``df`` (ids are unique).
+    """doc_id, n_shingles, component_id and kept for each row of ``df`` (rows of equal id are equal).
 
     Two documents are linked when 100 * shared shingles >= ``percent`` * shingles of both together; component_id is
     the smallest id reachable over links, and the document of that id is kept. Texts with equal sets are one vertex.
@@ -180,7 +180,7 @@ def near_duplicates(df: DataFrame, scratch: Scratch, k: int = 5, percent: int =
     them no more than connect a group. No candidate is dropped.
 
     Null and empty texts have no shingles and are linked with nothing; a text of fewer than k words has its whole
-    sequence as one shingle; an empty table gives an empty result; other columns of ``df`` aren't read.
+    sequence as one shingle; repeated rows get the same answer; an empty table gives an empty result; other columns of ``df`` aren't read.
     """
     spark = df.sparkSession
     ship(spark)
@@ -189,7 +189,7 @@ def near_duplicates(df: DataFrame, scratch: Scratch, k: int = 5, percent: int =
     sk = scratch.save(sketches(docs, k, bands, rows), "sketch")
     full = sk.where("n_shingles > 0")
     copies = full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
-    members = scratch.save(full.select("doc_id", "h1", "h2", "n_shingles").join(copies, ["h1", "h2", "n_shingles"]).select("doc_id", "rep"), "members")
+    members = scratch.save(full.select("doc_id", "h1", "h2", "n_shingles").join(copies, ["h1", "h2", "n_shingles"]).select("doc_id", "rep").distinct(), "members")
     doubles = members.where("doc_id <> rep").select("doc_id")
     keys = scratch.save(full.select("doc_id", F.explode("bands").alias("key")).join(doubles, "doc_id", "left_anti"), "keys")
     hubs = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).where("c > 1").select("key", "a")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontam, near_dedup, packing, quality_rules, tokens, toxicity, url_filter, warc
+from . import classifier, decontam, near_dedup, packing, quality_rules, suffix_dedup, tokens, toxicity, url_filter, warc
 from .common import Scratch
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -49,6 +49,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_cascade(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs, Scratch(spark))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -69,4 +74,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir, "toxic", 3, 1, toxicity.score_toxicity)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_token_counts, op4_decontamination, op5_warc, op6_quality_rules, op8_url_filters, op9_quality_classifier, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_token_counts, op4_decontamination, op5_warc, op6_quality_rules, op7_suffix_dedup, op8_url_filters, op9_quality_classifier, op10_toxicity)}
