@@ -143,7 +143,7 @@ def like_pattern(p: str) -> str:
 
 
 def like(a: Column, pattern: str) -> Column:
-    return truth(a.ilike(F.lit(like_pattern(pattern)))) if not isinstance(pattern, Column) else truth(a.ilike(pattern))
+    return truth(F.ilike(a, F.lit(like_pattern(pattern))))
 
 
 def round_half_up(a: Column) -> Column:
