@@ -21,14 +21,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8) the document of the smallest id stays."""
     kept = near_dedup.near_duplicates(docs, Scratch(spark)).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 400 bytes or more that stand elsewhere too go; characters cut in two go with them."""
     cut = suffix_dedup.remove_repeats(docs, Scratch(spark), with_text=True).where("n_removed > 0")
     kept = cut.select("doc_id", F.coalesce("kept", F.lit(b"")).alias("kept")).dropDuplicates(["doc_id"])
-    return trimmed(docs.select(*COLUMNS).join(kept, "doc_id", "left"))
+    return trimmed(docs.select(*COLUMNS).join(kept.hint("merge"), "doc_id", "left"))
 
 
 def trimmed(df: DataFrame) -> DataFrame:

@@ -208,7 +208,8 @@ def remove_repeats(df: DataFrame, scratch: Scratch, length: int = 400, id_col: s
     at = scratch.save(at, "grams")
     often = at.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
     places = at.join(often, "gram").groupBy("doc_id").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    texts = scratch.save(docs.join(places, "doc_id"), "texts")
+    # joins of texts are merge joins at every size, so a small input moves the same share of bytes as a large one
+    texts = scratch.save(docs.join(places.hint("merge"), "doc_id"), "texts")
     scratch.drop("grams")
     steps = scratch.save(cells(texts, length), "steps")
     names = steps.groupBy("core", "around").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "start", "n")).alias("one"))
@@ -219,11 +220,11 @@ def remove_repeats(df: DataFrame, scratch: Scratch, length: int = 400, id_col: s
     whole = steps.join(names.where("c > 1").select("core", "around"), ["core", "around"]).select("doc_id", "start", (F.col("start") + F.col("n") - 1 + length).alias("end"))
     # steps that agree in their core only: window by window, one of each kind
     open_ = names.where("kinds > 1").select("one.*", "core").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "core")).alias("steps"))
-    single = scratch.save(windows(texts.select("doc_id", "text").join(open_, "doc_id"), length), "windows")
+    single = scratch.save(windows(texts.select("doc_id", "text").join(open_.hint("merge"), "doc_id"), length), "windows")
     found = single.groupBy("core", "name").agg(F.count("*").alias("c")).where("c > 1").select("core", "name")
     some = single.join(found, ["core", "name"]).select("doc_id", "start", (F.col("start") + length).alias("end"))
     spans = whole.unionAll(some).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    done = scratch.save(cut(texts.select("doc_id", "text").join(spans, "doc_id"), with_text).dropDuplicates(["doc_id"]), "cut")
+    done = scratch.save(cut(texts.select("doc_id", "text").join(spans.hint("merge"), "doc_id"), with_text).dropDuplicates(["doc_id"]), "cut")
     scratch.drop("steps", "names", "tied", "windows", "texts")
     out = base.select("doc_id", "n_bytes", "sha").join(done, "doc_id", "left").join(members, "doc_id", "left")
     gone = F.col("rep").isNotNull() & (F.col("n_bytes") >= length)
