@@ -202,6 +202,7 @@ def remove_repeats(df: DataFrame, scratch: Scratch, length: int = 400, id_col: s
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     base = scratch.save(anchored(docs, length), "anchors")
     copies = base.groupBy("sha", "n_bytes").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
+    copies = scratch.save(copies, "copies")  # a table of its own, so that a hot text's rows can be split in the join
     members = scratch.save(base.select("doc_id", "sha", "n_bytes").join(copies, ["sha", "n_bytes"]).select("doc_id", "rep").distinct(), "members")
     alone = base.join(members.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")
     at = alone.where(F.size("gram") > 0).select("doc_id", F.explode(F.arrays_zip("place", "gram")).alias("x")).select("doc_id", "x.place", "x.gram")
