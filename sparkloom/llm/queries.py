@@ -46,7 +46,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_cascade(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = quality_rules.quality_cascade(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.drop("rejected_by")  # which of several rules came first depends on the order
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
