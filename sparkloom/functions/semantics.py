@@ -133,7 +133,7 @@ def greater_equal(a: Column, b: Column) -> Column:
 
 def among(a: Column, kind: str, values: list[Any]) -> Column:
     there = [v for v in values if v is not None]
-    hit = truth(a.isin([literal(kind, v) for v in there])) if there else F.lit(False)
+    hit = a.isNotNull() & a.isin([literal(kind, v) for v in there]) if there else F.lit(False)
     return hit | a.isNull() if len(there) < len(values) else hit
 
 
@@ -201,13 +201,17 @@ def test(a: Column, kind: str, op: str, v: Any) -> Column:
     if op == "in":
         return F.lit(True) if v is None else among(a, kind, v)
     if op in FILTERS:
-        return FILTERS[op](a, literal(kind, v))
+        b = literal(kind, v)
+        if v is None:
+            return FILTERS[op](a, b)
+        # never null either, and in a form that reaches the scan
+        return {"lt": lambda: a.isNull() | (a < b), "lte": lambda: a.isNull() | (a <= b), "gt": lambda: a.isNotNull() & (a > b), "gte": lambda: a.isNotNull() & (a >= b)}[op]()
     if op in STRING_FILTERS:
         if v is None:
             return F.lit(True)
         if op == "like":
             return like(a, v)
-        return truth({"contains": a.contains, "starts_with": a.startswith, "ends_with": a.endswith}[op](F.lit(v)))
+        return a.isNotNull() & {"contains": a.contains, "starts_with": a.startswith, "ends_with": a.endswith}[op](F.lit(v))
     if op == "not":
         return ~test(a, plain_kind(kind), "", v)
     if op.startswith("not_"):

@@ -143,7 +143,11 @@ class Compiler:
                 s.frame.df = s.frame.df.join(right, F.col(left) == F.col(key), "left").drop(key, left)
             else:
                 left, to = s.frame.add(s.node.getField("id"), "f"), fresh("t")
-                e = self.edges(s.type, f).groupBy(F.col("_from").alias(key)).agg(F.min("_to").alias(to))
+                e = self.edges(s.type, f)
+                if self.binding.single(*self.model.relation(s.type, f)):
+                    e = e.select(F.col("_from").alias(key), F.col("_to").alias(to))
+                else:
+                    e = e.groupBy(F.col("_from").alias(key)).agg(F.min("_to").alias(to))
                 other = fresh("j")
                 right = right.select(node, F.col(node).getField("id").alias(other))
                 s.frame.df = s.frame.df.join(e, F.col(left) == F.col(key), "left").join(right, F.col(to) == F.col(other), "left").drop(key, to, other, left)
@@ -364,7 +368,8 @@ class Compiler:
             rank = fresh("r")
             w = Window.partitionBy(*within).orderBy(*[o.sort() for o in orders])
             df = s.frame.df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) > (skip or 0))
-            s.frame.df = (df if first is None else df.where(F.col(rank) <= (skip or 0) + first)).drop(rank)
+            s.frame.df = df if first is None else df.where(F.col(rank) <= (skip or 0) + first)
+            s.frame.meta["rank"] = rank
         return orders
 
     # ---------------------------------------------------------------- projection
@@ -532,11 +537,12 @@ class Compiler:
         child.frame.meta["order"] = [pos]
         return child
 
-    def hop(self, df: DataFrame, at: str, step: Any, t: Type, keep_null: bool) -> tuple[DataFrame, str]:
+    def hop(self, df: DataFrame, at: str, step: Any, t: Type, keep_null: bool, last: bool) -> tuple[DataFrame, str]:
         """One relation step from the ids in column ``at``; depths are a union of that many joins."""
         e = self.edges(t, step.field)
-        there = self.rows(self.model.types[step.field.type_name]).select(F.col("id").alias("_to"))
-        e = e.join(there, "_to", "left_semi")  # dangling edges and hidden vertices end a path
+        if not last or step.most > 1 or keep_null:  # else the join with the target's rows does the same
+            there = self.rows(self.model.types[step.field.type_name]).select(F.col("id").alias("_to"))
+            e = e.join(there, "_to", "left_semi")  # dangling edges and hidden vertices end a path
         out, levels = fresh("i"), []
         level = df.withColumn(out, F.col(at))
         if step.least == 0:
@@ -564,7 +570,7 @@ class Compiler:
         here = s.type
         relations = [x for x in steps if x.field.kind == "relation"]
         for n, step in enumerate(relations):
-            df, to = self.hop(df, at, step, here, keep_null and not any(x.field.is_list or x.most > 1 for x in steps[n + 1 :]))
+            df, to = self.hop(df, at, step, here, keep_null and not any(x.field.is_list or x.most > 1 for x in steps[n + 1 :]), n == len(relations) - 1)
             df, at = df.drop(at), to
             here = self.model.types[step.field.type_name]
         keys = [*s.frame.keys, at]
@@ -613,8 +619,11 @@ class Compiler:
         wants = any(c.name == "_cursor" for c in sel.children)
         orders = self.page(child, sel.args, wants, keys)
         item = self.project(child, sel.children, orders, path)
-        w = Window.partitionBy(*keys).orderBy(*[o.sort() for o in orders], *[F.col(c) for c in child.frame.meta.get("order", [])])
-        rank = F.row_number().over(w)
+        if "rank" in child.frame.meta:
+            rank = F.col(child.frame.meta["rank"])
+        else:
+            w = Window.partitionBy(*keys).orderBy(*[o.sort() for o in orders], *[F.col(c) for c in child.frame.meta.get("order", [])])
+            rank = F.row_number().over(w)
         one, out = fresh("x"), fresh("l")
         rows = child.frame.df.select(*[F.col(k) for k in keys], F.struct(rank.alias("r"), item.alias("item")).alias(one))
         got = rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(one), lambda a, b: a.getField("r") - b.getField("r")), lambda x: x.getField("item")).alias(out))

@@ -153,9 +153,9 @@ def engine(spark: SparkSession, sf_dir: str, options: Options | None = None) ->
     b.bind("Label", lambda: keyed(read("labels"), "doc_id").select("id", "quality", "toxic"))
     b.bind("Event", lambda: keyed(read("events"), "event_id").select("id", c("ts").cast("timestamp").alias("at"), c("user_id").alias("userId"), c("event_type").alias("accessGroup"), "value", "props"))
     b.bind("Vector", lambda: keyed(read("embeddings"), "vec_id").select("id", "label", c("embedding").cast("array<double>").alias("values")))
-    by_customer = lambda: derived_edges(read("orders"), c("o_custkey"), c("o_orderkey"))
-    b.bind_edges("Customer.orders", by_customer).bind_edges("Customer.baskets", by_customer)
-    b.bind_edges("Customer.referrals", lambda: derived_edges(read("customer").where("c_custkey > 0"), F.floor(c("c_custkey") / 3), c("c_custkey")))
+    by_customer = lambda: derived_edges(read("orders"), c("o_custkey"), c("o_orderkey"), True)
+    b.bind_edges("Customer.orders", by_customer, one_to=True).bind_edges("Customer.baskets", by_customer, one_to=True)
+    b.bind_edges("Customer.referrals", lambda: derived_edges(read("customer").where("c_custkey > 0"), F.floor(c("c_custkey") / 3), c("c_custkey"), True), one_to=True)
     b.bind_edges("Order.suppliers", lambda: derived_edges(read("lineitem"), c("l_orderkey"), c("l_suppkey")))
-    b.bind_edges("Document.label", lambda: derived_edges(read("labels"), c("doc_id"), c("doc_id")))
+    b.bind_edges("Document.label", lambda: derived_edges(read("labels"), c("doc_id"), c("doc_id")), one_from=True, one_to=True)
     return Engine(b, options)

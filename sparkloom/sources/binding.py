@@ -103,12 +103,15 @@ class Binding:
         self.spark, self.model = spark, model
         self.tables: dict[str, Callable[[], DataFrame]] = {}
         self.edge_sets: dict[str, Callable[[], DataFrame]] = {}
+        self.one: dict[str, tuple[bool, bool]] = {}
 
     def bind(self, type_name: str, df: DataFrame | Callable[[], DataFrame]) -> Binding:
         self.tables[type_name] = df if callable(df) else lambda: df
         return self
 
-    def bind_edges(self, type_and_field: str, df: DataFrame | Callable[[], DataFrame]) -> Binding:
+    def bind_edges(self, type_and_field: str, df: DataFrame | Callable[[], DataFrame], one_from: bool = False, one_to: bool = False) -> Binding:
+        """``one_from``: each _from stands in one edge at most, as each _to with ``one_to``; that saves an aggregation."""
+        self.one[type_and_field] = (one_from, one_to)
         self.edge_sets[type_and_field] = df if callable(df) else lambda: df
         return self
 
@@ -123,6 +126,10 @@ class Binding:
             return self.spark.createDataFrame([], "_from string, _to string")
         return make().select(F.col("_from").cast("string"), F.col("_to").cast("string"))
 
+    def single(self, r: Relation, forward: bool) -> bool:
+        """Whether the edges, followed in this direction, are known to lead to one object at most."""
+        return self.one.get(f"{r.from_type}.{r.field}", (False, False))[0 if forward else 1]
+
     def load(self, data: dict[str, list[dict[str, Any]]], edges: dict[str, list[tuple[str, str]]] | None = None) -> Binding:
         """Small literal tables, for tests and for fixtures."""
         for name, docs in data.items():
@@ -134,6 +141,7 @@ class Binding:
         return self
 
 
-def derived_edges(df: DataFrame, source: Column, target: Column) -> DataFrame:
-    """Edges from a foreign key: pairs where both ends are there, each once."""
-    return df.select(source.cast("string").alias("_from"), target.cast("string").alias("_to")).where("_from is not null and _to is not null").distinct()
+def derived_edges(df: DataFrame, source: Column, target: Column, unique: bool = False) -> DataFrame:
+    """Edges from a foreign key: pairs where both ends are there, each once (``unique``: as they stand)."""
+    e = df.select(source.cast("string").alias("_from"), target.cast("string").alias("_to")).where("_from is not null and _to is not null")
+    return e if unique else e.distinct()

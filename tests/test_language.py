@@ -84,3 +84,14 @@ def test_modules_and_labels():
     small = m.select_modules(set())
     assert "B" not in small.types and "bs" not in small.types["A"].fields
     assert m.localize("de-AT", "A", "key")["label"] == "Schluessel" and m.localize("fr", "A", "someField")["label"] == "Some field"
+
+
+def test_compatibility_and_text_changes():
+    from sparkloom.sources.compat import change_type, problems
+
+    base = Model.parse(GOOD % 'c: Float @collect(path: "items.q", aggregate: SUM)')
+    assert problems(base, base) == [] and problems(Model.parse(GOOD % 'd: Int c: Float @collect(path: "items.q", aggregate: SUM)'), base) == []
+    found = problems(Model.parse(change_type(GOOD % 'c: Int @collect(path: "items", aggregate: COUNT)', "V", "type V @entityExtension { s: Int }")), base)
+    assert len(found) == 4 and any("V is a extension" in p for p in found)
+    text = change_type(GOOD % "", "N", "type N @childEntity { text: String more: Int }")
+    assert "more" in Model.parse(text).types["N"].fields and "Z" in Model.parse(change_type(text, "Z", "enum Z { A B }")).types
