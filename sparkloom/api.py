@@ -28,6 +28,7 @@ class Options:
     max_limit: int | None = None
     search_limit: int = 1000
     search_depth: int = 1
+    max_order_depth: int | None = None
     tokenizer: search.Tokenizer = field(default_factory=lambda: search.DEFAULT)
 
 
@@ -127,7 +128,7 @@ class Engine:
         kind, fields = sdl.operation(text, variables, name)
         if kind != "query":
             raise QueryError("NOT_SUPPORTED", "this is no query; see sparkloom.operators.mutations")
-        compiler = Compiler(self.binding, user, tokenizer=self.options.tokenizer)
+        compiler = Compiler(self.binding, user, self.options.max_order_depth, self.options.tokenizer)
         parts: dict[str, Part] = {}
         self.resolve(compiler, fields, (), (), parts)
         return Result(parts, compiler.problems)
@@ -217,7 +218,7 @@ class Query:
 
     def __init__(self, engine: Engine, t: Type, user: auth.User | None):
         self.engine, self.type = engine, t
-        self.compiler = Compiler(engine.binding, user, tokenizer=engine.options.tokenizer)
+        self.compiler = Compiler(engine.binding, user, engine.options.max_order_depth, engine.options.tokenizer)
         self.scope = self.compiler.scan(t)
 
     def filter(self, **conditions: Any) -> Query:

@@ -187,6 +187,22 @@ def map_entries(m: Column) -> Column:
     return F.coalesce(F.map_entries(m), F.array().cast("array<struct<key:string,value:string>>"))
 
 
+def json_text(a: Column) -> Column:
+    """JSON with null fields kept."""
+    return F.to_json(a, {"ignoreNullFields": "false"})
+
+
+def is_kind(a: Column, data_type: str, kind: str) -> Column:
+    """Whether a value is a SCALAR, LIST, OBJECT or NULL; but for null the column's type tells."""
+    shape = "LIST" if data_type.startswith("array") else "OBJECT" if data_type.startswith(("struct", "map")) else "SCALAR"
+    return a.isNull() if kind == "NULL" else a.isNotNull() & F.lit(shape == kind)
+
+
+def dynamic(m: Column, key: Column) -> Column:
+    """A property of a map by a computed name; null where there is none."""
+    return F.try_element_at(m, key)
+
+
 FILTERS = {
     "lt": less, "lte": less_equal, "gt": greater, "gte": greater_equal,
 }

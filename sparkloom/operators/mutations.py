@@ -17,7 +17,7 @@ from ..functions import semantics
 from ..functions.semantics import BadValue, parse_scalar, truth
 from ..model import Field, Relation, Type
 from ..plans import auth
-from ..plans.compiler import Compiler, Problem, QueryError
+from ..plans.compiler import Compiler, Problem, QueryError, revision
 from ..sdl import Field as Sel
 from ..sources.binding import Binding, spark_type, stored_fields, to_row
 from .store import EDGE, Store
@@ -48,9 +48,9 @@ def typed(value: Any, kind: T.DataType) -> Column:
 
 
 class Transaction:
-    """Staged tables over a store. Reads see the changes made so far."""
+    """Staged tables over a store or a binding. Reads see the changes made so far."""
 
-    def __init__(self, store: Store, user: auth.User | None, clock: Callable[[], dt.datetime], new_id: Callable[[], str]):
+    def __init__(self, store: Store | Binding, user: auth.User | None, clock: Callable[[], dt.datetime], new_id: Callable[[], str]):
         self.store, self.model, self.spark, self.user = store, store.model, store.spark, user
         self.now, self.new_id = clock(), new_id
         self.changed: dict[str, DataFrame] = {}
@@ -424,7 +424,12 @@ class Mutator:
         if tx.table(t).where(F.col("id").isin(ids)).count() < len(ids):
             raise QueryError("NOT_FOUND", f"{t.name} objects to update don't exist")
         for u in inputs:
-            tx.update(t, F.col("id") == str(u["id"]), {k: v for k, v in u.items() if k != "id"}, [str(u["id"])])
+            if u.get("_revision") is not None:
+                rows = tx.table(t)
+                now = rows.where(F.col("id") == str(u["id"])).select(revision(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))).head()
+                if now[0] != u["_revision"]:
+                    raise QueryError("REVISION_MISMATCH", f"{t.name} {u['id']} has changed meanwhile")
+            tx.update(t, F.col("id") == str(u["id"]), {k: v for k, v in u.items() if k not in ("id", "_revision")}, [str(u["id"])])
         return self.read(tx, t, ids, f, problems)
 
     def ids_of(self, tx: Transaction, t: Type, flt: dict[str, Any], args: dict[str, Any]) -> DataFrame:

@@ -33,6 +33,11 @@ def getter(name: str):
     return lambda x: x.getField(name)
 
 
+def revision(node: Column) -> Column:
+    """Changes whenever a document does."""
+    return F.md5(F.to_json(node, {"ignoreNullFields": "false"}).cast("binary"))
+
+
 class QueryError(ValueError):
     def __init__(self, code: str, message: str):
         super().__init__(message)
@@ -98,6 +103,7 @@ class Compiler:
     def __init__(self, binding: Binding, user: auth.User | None = None, max_depth_order: int | None = None, tokenizer: search.Tokenizer = search.DEFAULT):
         self.binding, self.model, self.user = binding, binding.model, user
         self.problems: list[Problem] = []
+        self.max_depth_order = max_depth_order
         self.tokenizer = tokenizer
 
     # ---------------------------------------------------------------- scans
@@ -309,7 +315,10 @@ class Compiler:
             if way not in ("ASC", "DESC"):
                 raise QueryError("BAD_INPUT", f"bad order {clause}")
             at, kind = s, ""
-            for f in self.order_path(s.type, name):
+            path = self.order_path(s.type, name)
+            if self.max_depth_order is not None and sum(f.kind in ("relation", "reference") for f in path) > self.max_depth_order:
+                raise QueryError("BAD_INPUT", f"{clause} crosses more than {self.max_depth_order} relations")
+            for f in path:
                 t = self.model.types[f.type_name]
                 if f.kind in ("relation", "reference"):
                     node, t = self.target(at, f)
@@ -394,7 +403,7 @@ class Compiler:
         if name == "_cursor":
             return self.cursor(orders or [])
         if name == "_revision":
-            return F.lit(None).cast("string")
+            return revision(s.node)
         if name.startswith("_") and name.endswith("Meta") and name[1:-4] in s.type.fields:
             f = s.type.fields[name[1:-4]]
             self.check(s.type, f)

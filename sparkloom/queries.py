@@ -230,3 +230,74 @@ def _lists(df: DataFrame) -> list:
 
 
 column_query("operators_lists", "orders", _lists, "SELECT o_orderkey, array_to_string(list_concat(string_split(o_orderpriority, '-'), ['1', 'HIGH']), '|') AS both, array_to_string(list_filter(string_split(o_orderpriority, '-'), lambda x: x NOT IN ('1', 'HIGH')), '|') AS rest, string_split(o_orderpriority, '-')[1] AS first, CAST(NULL AS VARCHAR) AS none FROM orders")
+
+
+def _objects(df: DataFrame) -> list:
+    from pyspark.sql import functions as F
+
+    from .functions import semantics as s
+
+    m = F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("priority"), F.col("o_orderpriority"))
+    a, b = F.struct(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s")), F.struct(F.lit("new").alias("s"), F.lit(None).cast("int").alias("n"))
+    merged = s.merge_structs(["k", "s", "n"], [(a, ["k", "s"]), (b, ["s", "n"])])
+    late = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus"))
+    return [F.col("o_orderkey"), s.json_text(merged).alias("merged"), F.size(s.map_entries(m)).alias("entries"), s.dynamic(m, F.when(F.col("o_orderkey") % 2 == 0, "status").otherwise("nope")).alias("picked"), s.is_kind(late, "string", "NULL").alias("is_null"), s.is_kind(late, "string", "SCALAR").alias("is_scalar"), F.when(s.truth(late == "F"), "yes").otherwise("no").alias("chosen")]
+
+
+column_query("operators_objects", "orders", _objects, """SELECT o_orderkey, '{"k":' || o_orderkey || ',"s":"new","n":null}' AS merged, CAST(2 AS INT) AS entries, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS picked, o_orderkey % 2 <> 0 AS is_null, o_orderkey % 2 = 0 AS is_scalar, CASE WHEN o_orderkey % 2 = 0 AND o_orderstatus = 'F' THEN 'yes' ELSE 'no' END AS chosen FROM orders""")
+
+
+# ---- mutations, as the tables that a transaction would commit
+def staged(name: str, change: Callable, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        import datetime as dt
+
+        from .operators.mutations import Transaction
+
+        tx = Transaction(engine(spark, sf_dir).binding, None, lambda: dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc), lambda: "new")
+        return change(tx)
+
+    QUERIES[name], ORACLES[name] = run, sql
+
+
+def _calc(tx) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    t = tx.model.types["Customer"]
+    tx.update(t, F.col("segment") == "BUILDING", {"addTo_balance": 100}, None)
+    return tx.table(t).select("key", "balance", F.col("updatedAt").isNotNull().alias("changed"))
+
+
+def _delete(pick: Callable) -> Callable:
+    def change(tx) -> DataFrame:
+        t = tx.model.types["Customer"]
+        tx.delete(t, tx.table(t).where("segment = 'BUILDING'").select("id"))
+        return pick(tx)
+
+    return change
+
+
+staged("calc_mutation", _calc, "SELECT c_custkey AS key, CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal + 100 ELSE c_acctbal END AS balance, c_mktsegment = 'BUILDING' AS changed FROM customer")
+staged("delete_rows", _delete(lambda tx: tx.table(tx.model.types["Customer"]).select("key")), "SELECT c_custkey AS key FROM customer WHERE c_mktsegment <> 'BUILDING'")
+staged("delete_cascade", _delete(lambda tx: tx.table(tx.model.types["Order"]).select("key")), "SELECT o_orderkey AS key FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE coalesce(c_mktsegment, '') <> 'BUILDING'")
+staged("delete_edges", _delete(lambda tx: tx.edges(tx.model.relation(tx.model.types["Customer"], tx.model.types["Customer"].fields["referrals"])[0]).selectExpr("_from AS frm", "_to AS dest")), "SELECT CAST(c.c_custkey // 3 AS VARCHAR) AS frm, CAST(c.c_custkey AS VARCHAR) AS dest FROM customer c JOIN customer p ON p.c_custkey = c.c_custkey // 3 WHERE c.c_custkey > 0 AND c.c_mktsegment <> 'BUILDING' AND p.c_mktsegment <> 'BUILDING'")
+
+
+def _ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import datetime as dt
+
+    from .operators.ttl import info
+
+    return info(engine(spark, sf_dir).binding, dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc))
+
+
+QUERIES["ttl_info"] = _ttl
+ORACLES["ttl_info"] = "SELECT 'Event' AS type_name, count(*) FILTER (ts < TIMESTAMP '2024-01-22') AS expired, count(*) FILTER (ts < TIMESTAMP '2024-01-19') AS overdue FROM events"
+
+
+def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir).schema_frames()["relations"].select("name", "from_type", "to_type")
+
+
+QUERIES["schema_relations"] = _meta
+ORACLES["schema_relations"] = "SELECT * FROM (VALUES ('customers_orders', 'Customer', 'Order'), ('customers_baskets', 'Customer', 'Basket'), ('customers_referrals', 'Customer', 'Customer'), ('orders_suppliers', 'Order', 'Supplier'), ('documents_label', 'Document', 'Label')) t(name, from_type, to_type)"

@@ -13,11 +13,11 @@ SCHEMA = """
 type Region @rootEntity { key: Int @key  name: String }
 type Nation @rootEntity { key: Int @key  name: String  regionKey: Int  region: Region @reference(keyField: "regionKey") }
 type Customer @rootEntity(permissionProfile: "segments") {
-    key: Int53 @key  name: String  segment: String  balance: Float  nationKey: Int
+    key: Int53 @key  name: String  segment: String  balance: Float @calcMutations(operators: [ADD, MULTIPLY])  nationKey: Int
     nation: Nation @reference(keyField: "nationKey")
     oddNationKey: Int  oddNation: Nation @reference(keyField: "oddNationKey")
     richBalance: Float
-    orders: [Order] @relation
+    orders: [Order] @relation(onDelete: CASCADE)
     baskets: [Basket] @relation
     referrals: [Customer] @relation
     referrer: Customer @relation(inverseOf: "referrals")
