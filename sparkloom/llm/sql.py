@@ -66,6 +66,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM y
 """
 
+REPEATS = """
+WITH d AS (
+    SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), w AS (
+    SELECT doc_id, i, hash(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400)
+), s AS (
+    SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)
+), g AS (
+    SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM s
+), r AS (
+    SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY doc_id, g
+), q AS (
+    SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS last FROM r
+), c AS (
+    SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+    FROM q JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
+"""
+
 URLS = r"""
 WITH u AS (
     SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -101,4 +122,4 @@ SELECT page_id, host, path, rule, CASE WHEN known IS NOT NULL THEN known
 FROM v
 """
 
-ORACLES: dict[str, str] = {"op1_near_dedup": NEAR, "op5_warc": WARC, "op6_quality_rules": RULES, "op8_url_filters": URLS}
+ORACLES: dict[str, str] = {"op1_near_dedup": NEAR, "op5_warc": WARC, "op6_quality_rules": RULES, "op7_suffix_dedup": REPEATS, "op8_url_filters": URLS}
