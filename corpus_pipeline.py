@@ -9,6 +9,8 @@ from sparkloom.llm import classifier, decontam, near_dedup, packing, suffix_dedu
 from sparkloom.llm.common import Scratch
 from sparkloom.llm.queries import table, vocabulary
 
+#: Passages of so many bytes are removed where they repeat: a little less than 50 words of prose have.
+PASSAGE_BYTES = 256
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -25,8 +27,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes or more that stand elsewhere too go; characters cut in two go with them."""
-    cut = suffix_dedup.remove_repeats(docs, Scratch(spark), with_text=True).where("n_removed > 0")
+    """Passages of PASSAGE_BYTES or more that stand elsewhere too go; characters cut in two go with them."""
+    cut = suffix_dedup.remove_repeats(docs, Scratch(spark), PASSAGE_BYTES, with_text=True).where("n_removed > 0")
     kept = cut.select("doc_id", F.coalesce("kept", F.lit(b"")).alias("kept")).dropDuplicates(["doc_id"])
     return trimmed(docs.select(*COLUMNS).join(kept.hint("merge"), "doc_id", "left"))
 

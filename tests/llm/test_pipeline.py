@@ -45,7 +45,7 @@ def test_one_of_each_group_stays(spark, outputs):
 def test_repeated_passages_are_gone(spark, outputs):
     before, after = outputs[2]
     assert ids(before) == ids(after)
-    cut = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(before, Scratch(spark)).collect()}
+    cut = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(before, Scratch(spark), p.PASSAGE_BYTES).collect()}
     old = {r.doc_id: r.text for r in before.collect()}
     for r in after.collect():
         n, gone = cut[r.doc_id]
