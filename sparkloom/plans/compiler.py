@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregates, search, semantics
 from ..functions.semantics import comparable, greater, literal, safe_list, truth
-from ..model import NULL_KEEPING, Field, Model, Type
+from ..model import NULL_KEEPING, Field, Step, Type
 from ..sdl import Field as Sel
 from ..sources.binding import Binding
 from . import auth
@@ -571,8 +571,6 @@ class Compiler:
         """The end of a relation or of a collect path as rows, keyed by the parent's keys and what leads there."""
         if s.frame is None:
             raise QueryError("NOT_SUPPORTED", f"{s.type.name}.{f.name} can't be followed within this list")
-        from ..model import Step
-
         steps = f.steps if f.kind == "collect" else [Step(f)]
         at = fresh("i")
         df = s.frame.df.select(*[F.col(k) for k in s.frame.keys], s.node.getField("id").alias(at))
