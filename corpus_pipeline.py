@@ -9,8 +9,8 @@ from sparkloom.llm import classifier, decontam, near_dedup, packing, suffix_dedu
 from sparkloom.llm.common import Scratch
 from sparkloom.llm.queries import table, vocabulary
 
-#: Passages of so many bytes are removed where they repeat: a little less than 50 words of prose have.
-PASSAGE_BYTES = 256
+#: Passages of so many bytes are removed where they repeat. Of passages of 51 words, 99 in 100 are longer.
+PASSAGE_BYTES = 240
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
