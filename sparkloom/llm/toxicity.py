@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +23,10 @@ CACHE = 400_000
 
 
 class Trie:
-    """Lexicon as a trie; ``near`` walks it with the states of a Levenshtein automaton.
+    """Lexicon as a trie; ``near`` walks it together with a Levenshtein automaton.
 
-    The state after a path is the row of edit distances to every prefix of the word, cut off above the allowed
-    distance, so a branch dies as soon as no completion can be near enough.
+    A state is a node of the trie, how much of the word is read, and the edits so far; a state whose edits are used up
+    has one way on at most, so few states are ever met.
     """
 
     def __init__(self, terms: dict[str, float]):
@@ -37,24 +38,49 @@ class Trie:
             node[""] = weight
 
     def near(self, word: str, most: int) -> list[tuple[int, float]]:
-        """Distance and weight of the terms within ``most`` edits (insert, delete, replace)."""
+        """Edits and weight of the terms within ``most`` edits (insert, delete, replace); a term may come up again."""
         out: list[tuple[int, float]] = []
-        stack = [(self.root, list(range(len(word) + 1)))]
+        stack, n = [(self.root, 0, 0)], len(word)
         while stack:
-            node, row = stack.pop()
-            if "" in node and row[-1] <= most:
-                out.append((row[-1], node[""]))
-            for ch, below in node.items():
-                if ch == "":
-                    continue
-                new = [row[0] + 1]
-                for i, w in enumerate(word):
-                    new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (w != ch)))
-                if min(new) <= most:
-                    stack.append((below, new))
+            node, i, e = stack.pop()
+            if i == n:
+                if "" in node:
+                    out.append((e, node[""]))
+            elif (below := node.get(word[i])) is not None:
+                stack.append((below, i + 1, e))
+            if e < most:
+                if i < n:
+                    stack.append((node, i + 1, e + 1))
+                for ch, below in node.items():
+                    if ch:
+                        stack.append((below, i, e + 1))
+                        if i < n and ch != word[i]:
+                            stack.append((below, i + 1, e + 1))
         return out
 
 
+class Tokens(dict):
+    """Token -> weight and whether it is misspelled; a full table answers without keeping."""
+
+    def __init__(self, matcher: Matcher):
+        super().__init__()
+        self.matcher = matcher
+
+    def __missing__(self, token: str) -> tuple[float, bool]:
+        v = NONE
+        for w in WORD.findall(token):
+            x = self.matcher.word(w)
+            if x[0] > v[0]:
+                v = x
+        if len(self) < CACHE:
+            self[token] = v
+        return v
+
+
+NONE = (0.0, False)
+_tokens: dict[str, Tokens] = {}
+
+
 class Matcher:
     """Weights of words: of a term, of a stem, or of a term that the word misspells (``misspelled`` tells which)."""
 
@@ -64,7 +90,7 @@ class Matcher:
         # texts one edit apart become equal by deleting at most one character of each
         self.deleted = {x for w in words if len(w) >= least for x in (w, *(w[:i] + w[i + 1 :] for i in range(len(w))))}
         self.lengths = range(min(map(len, self.deleted), default=0), max(map(len, self.deleted), default=-1) + 2)
-        self.cache: dict[str, tuple[float, bool]] = {}
+        self.key = uuid.uuid4().hex
 
     def word(self, w: str) -> tuple[float, bool]:
         if (v := self.words.get(w)) is not None:
@@ -73,18 +99,17 @@ class Matcher:
             if (v := self.stems.get(w[:k])) is not None and len(w) >= k:
                 return v, False
         if len(w) not in self.lengths or w in self.plain:
-            return 0.0, False
+            return NONE
         if w in self.deleted or any(w[:i] + w[i + 1 :] in self.deleted for i in range(len(w))):
             return max((v for _, v in self.trie.near(w, 1)), default=0.0), True
-        return 0.0, False
-
-    def token(self, token: str) -> tuple[float, bool]:
-        """Of a token between white space, in lower case: its heaviest word."""
-        if (v := self.cache.get(token)) is None:
-            v = max((self.word(w) for w in WORD.findall(token)), default=(0.0, False), key=lambda x: x[0])
-            if len(self.cache) < CACHE:
-                self.cache[token] = v
-        return v
+        return NONE
+
+    def tokens(self) -> Tokens:
+        """The table of tokens met so far, kept from task to task in a worker; that of one matcher at a time."""
+        if self.key not in _tokens:
+            _tokens.clear()
+            _tokens[self.key] = Tokens(self)
+        return _tokens[self.key]
 
 
 def quoted(tokens: list[str], i: int, span: int = 12) -> bool:
@@ -99,7 +124,10 @@ def quoted(tokens: list[str], i: int, span: int = 12) -> bool:
 
 def text_features(text: str | None, m: Matcher, window: int = 40) -> list[float]:
     tokens = text.lower().split() if text else []
-    got = [(i, *v) for i, v in enumerate(map(m.token, tokens)) if v[0]]
+    values = [*map(m.tokens().__getitem__, tokens)]
+    if values.count(NONE) == len(values):
+        return [0.0] * len(FEATURES)
+    got = [(i, *v) for i, v in enumerate(values) if v[0]]
     if not got:
         return [0.0] * len(FEATURES)
     exact = fuzzy = quote = densest = 0.0
