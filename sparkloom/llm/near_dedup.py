@@ -189,10 +189,12 @@ def near_duplicates(df: DataFrame, scratch: Scratch, k: int = 5, percent: int =
     sk = scratch.save(sketches(docs, k, bands, rows), "sketch")
     full = sk.where("n_shingles > 0")
     copies = full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
+    copies = scratch.save(copies, "copies")  # a table of its own, so that a hot set's rows can be split in the join
     members = scratch.save(full.select("doc_id", "h1", "h2", "n_shingles").join(copies, ["h1", "h2", "n_shingles"]).select("doc_id", "rep").distinct(), "members")
     doubles = members.where("doc_id <> rep").select("doc_id")
     keys = scratch.save(full.select("doc_id", F.explode("bands").alias("key")).join(doubles, "doc_id", "left_anti"), "keys")
     hubs = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).where("c > 1").select("key", "a")
+    hubs = scratch.save(hubs, "hubs")
     near = keys.join(hubs, "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
     classes = components(near, scratch, "candidates")
     scratch.drop("keys")
@@ -202,7 +204,8 @@ def near_duplicates(df: DataFrame, scratch: Scratch, k: int = 5, percent: int =
     n = F.ceil(F.col("g") / block).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int")
     placed = classes.withColumnRenamed("node", "doc_id").join(size, "component").select("doc_id", "component", n.alias("n")).withColumn("own", own)
-    texts = scratch.save(docs.join(placed, "doc_id"), "candidate-texts")
+    # a merge join at every size, so a small input moves the same share of bytes as a large one
+    texts = scratch.save(docs.join(placed.hint("merge"), "doc_id"), "candidate-texts")
     dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     group = F.concat_ws(":", "component", F.least("own", "other"), F.greatest("own", "other"))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
