@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, lists, mix, prefix, ship, signed, slices, span_hash, utf8
+from .common import U64, Scratch, lists, mix, prefix, ship, signed, slices, span_hash, unsigned, utf8
 
 GRAM = 64
 STEP = 16
@@ -63,7 +63,7 @@ def anchors(sums: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray
 
 
 def anchored(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, n_bytes, sha, and place and gram of the anchors of each text."""
+    """doc_id, n_bytes, sha, and the grams of the anchors of each text, with how often each occurs there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -73,13 +73,17 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
                 _, at = anchors(sums, o, length)
                 at = np.unique(at)
                 doc = np.searchsorted(o, at, side="right") - 1
-                count = np.bincount(doc, minlength=j - i)
                 gram = span_hash(sums, at, at + GRAM)
-                cols = [b.column(0).slice(i, j - i), pa.array(np.diff(o), pa.int64()), b.column(2).slice(i, j - i), lists(at - o[doc], count, pa.int64()), lists(signed(gram), count, pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "sha", "place", "gram"])
+                order = np.lexsort((gram, doc))  # a text that repeats itself has one gram at many places
+                gram, doc = gram[order], doc[order]
+                first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])])) if len(gram) else order
+                times = np.diff(np.append(first, len(gram)))
+                count = np.bincount(doc[first], minlength=j - i)
+                cols = [b.column(0).slice(i, j - i), pa.array(np.diff(o), pa.int64()), b.column(2).slice(i, j - i), lists(signed(gram[first]), count, pa.int64()), lists(times, count, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "sha", "gram", "times"])
 
     src = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
-    return src.mapInArrow(run, "doc_id long, n_bytes long, sha string, place array<long>, gram array<long>")
+    return src.mapInArrow(run, "doc_id long, n_bytes long, sha string, gram array<long>, times array<long>")
 
 
 def column(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +93,7 @@ def column(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cells(texts: DataFrame, length: int) -> DataFrame:
-    """doc_id, start, n, core, around: steps of windows whose anchor is in ``places``. ``texts``: doc_id, text, places.
+    """doc_id, start, n, core, around: steps of windows whose anchor's gram is in ``grams``. ``texts``: doc_id, text, grams.
 
     ``core`` names the bytes that all windows of a step have in common, ``around`` all bytes of those in this text.
     """
@@ -97,13 +101,16 @@ def cells(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offs = utf8(b.column(1))
-            places, counts = column(b.column(2))
+            grams, counts = column(b.column(2))
             ends = np.concatenate([[0], np.cumsum(counts)])
             for i, j, d, o in slices(data, offs):
                 sums = prefix(d)
                 start, at = anchors(sums, o, length)
+                known = unsigned(grams[ends[i] : ends[j]]) ^ mix(np.repeat(np.arange(j - i), counts[i:j]).astype(U64))
+                place = np.unique(at)
+                probe = span_hash(sums, place, place + GRAM) ^ mix((np.searchsorted(o, place, side="right") - 1).astype(U64))
                 flag = np.zeros(len(d) + 1, bool)
-                flag[places[ends[i] : ends[j]] + np.repeat(o[:-1], counts[i:j])] = True
+                flag[place] = np.isin(probe, known)
                 pick = flag[at]
                 start, at = start[pick], at[pick]
                 doc = np.searchsorted(o, start, side="right") - 1
@@ -202,20 +209,22 @@ def remove_repeats(df: DataFrame, scratch: Scratch, length: int = 400, id_col: s
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     base = scratch.save(anchored(docs, length), "anchors")
     copies = base.groupBy("sha", "n_bytes").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
-    copies = scratch.save(copies, "copies")  # a table of its own, so that a hot text's rows can be split in the join
+    copies = scratch.save(copies, "copies")
     members = scratch.save(base.select("doc_id", "sha", "n_bytes").join(copies, ["sha", "n_bytes"]).select("doc_id", "rep").distinct(), "members")
     alone = base.join(members.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")
-    at = alone.where(F.size("gram") > 0).select("doc_id", F.explode(F.arrays_zip("place", "gram")).alias("x")).select("doc_id", "x.place", "x.gram")
+    at = alone.where(F.size("gram") > 0).select("doc_id", F.explode(F.arrays_zip("gram", "times")).alias("x")).select("doc_id", "x.gram", "x.times")
     at = scratch.save(at, "grams")
-    often = at.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
-    places = at.join(often, "gram").groupBy("doc_id").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    # tables of their own here and below, so that the rows of a hot key can be split in the join that follows
+    often = scratch.save(at.groupBy("gram").agg(F.sum("times").alias("c")).where("c > 1").select("gram"), "often")
+    grams = at.join(often, "gram").groupBy("doc_id").agg(F.collect_list("gram").alias("grams"))
     # joins of texts are merge joins at every size, so a small input moves the same share of bytes as a large one
-    texts = scratch.save(docs.join(places.hint("merge"), "doc_id"), "texts")
+    texts = scratch.save(docs.join(grams.hint("merge"), "doc_id"), "texts")
     scratch.drop("grams")
     steps = scratch.save(cells(texts, length), "steps")
     names = steps.groupBy("core", "around").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "start", "n")).alias("one"))
     names = scratch.save(names, "names")
     tied = names.groupBy("core").agg(F.sum("c").alias("all"), F.count("*").alias("kinds")).where("all > 1").select("core", "kinds")
+    tied = scratch.save(tied, "ties")
     names = scratch.save(names.join(tied, "core"), "tied")
     # steps with equal surroundings: all their windows stand elsewhere too
     whole = steps.join(names.where("c > 1").select("core", "around"), ["core", "around"]).select("doc_id", "start", (F.col("start") + F.col("n") - 1 + length).alias("end"))
@@ -223,6 +232,7 @@ def remove_repeats(df: DataFrame, scratch: Scratch, length: int = 400, id_col: s
     open_ = names.where("kinds > 1").select("one.*", "core").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "core")).alias("steps"))
     single = scratch.save(windows(texts.select("doc_id", "text").join(open_.hint("merge"), "doc_id"), length), "windows")
     found = single.groupBy("core", "name").agg(F.count("*").alias("c")).where("c > 1").select("core", "name")
+    found = scratch.save(found, "found")
     some = single.join(found, ["core", "name"]).select("doc_id", "start", (F.col("start") + length).alias("end"))
     spans = whole.unionAll(some).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     done = scratch.save(cut(texts.select("doc_id", "text").join(spans.hint("merge"), "doc_id"), with_text).dropDuplicates(["doc_id"]), "cut")
