@@ -39,6 +39,12 @@ def test_against_sql(spark, sf, duck, name):
     assert sorted(tuple(norm(r[c]) for c in cols) for r in df.collect()) == sorted(tuple(norm(r[i]) for i in order) for r in want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["reference_in_list_all", "root_parent_all"])
+def test_every_basket_is_covered(spark, sf, name):
+    keys = [r.key for r in queries.QUERIES[name](spark, sf).select("key").collect()]
+    assert sorted(keys) == sorted(r.o_orderkey for r in spark.read.parquet(f"{sf}/orders.parquet").collect())
+
+
 MODEL = Model.parse("""
 type Order @rootEntity(flexSearch: true) {
     key: String @key @flexSearch(includeInSearch: true)  text: String @flexSearchFulltext(includeInSearch: true)
