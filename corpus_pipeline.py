@@ -20,17 +20,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return classifier.keep_good(docs.select(*COLUMNS), train, Scratch(spark))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column key: doc_id, or, where that is null, a hash of the text above all usual ids."""
+    own = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    return docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("long"), own).alias("key"))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the document of the smallest id stays."""
-    kept = near_dedup.near_duplicates(docs, Scratch(spark)).where("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
+    """Of each group of near copies (five-word shingles, similarity 0.8) the document of the smallest id stays.
+
+    Of repeated rows one stays. Rows without an id are judged like others; they come after all ids.
+    """
+    docs = keyed(docs)
+    kept = near_dedup.near_duplicates(docs, Scratch(spark), id_col="key").where("kept").select(F.col("doc_id").alias("key")).distinct()
+    return docs.join(kept.hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of PASSAGE_BYTES or more that stand elsewhere too go; characters cut in two go with them."""
-    cut = suffix_dedup.remove_repeats(docs, Scratch(spark), PASSAGE_BYTES, with_text=True).where("n_removed > 0")
-    kept = cut.select("doc_id", F.coalesce("kept", F.lit(b"")).alias("kept")).dropDuplicates(["doc_id"])
-    return trimmed(docs.select(*COLUMNS).join(kept.hint("merge"), "doc_id", "left"))
+    docs = keyed(docs)
+    cut = suffix_dedup.remove_repeats(docs, Scratch(spark), PASSAGE_BYTES, id_col="key", with_text=True).where("n_removed > 0")
+    kept = cut.select(F.col("doc_id").alias("key"), F.coalesce("kept", F.lit(b"")).alias("kept")).dropDuplicates(["key"])
+    return trimmed(docs.join(kept.hint("merge"), "key", "left"))
 
 
 def trimmed(df: DataFrame) -> DataFrame:

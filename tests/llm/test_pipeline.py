@@ -4,6 +4,8 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as p
 from sparkloom.llm import decontam, near_dedup, suffix_dedup
 from sparkloom.llm.common import Scratch
@@ -62,3 +64,36 @@ def test_leaks_are_gone(spark, sf, outputs):
 def test_all_is_packed(outputs):
     before, after = outputs[4]
     assert sorted({r.doc_id for r in after.collect()}) == ids(before)
+
+
+def through(spark, sf, docs):
+    """What each stage gives, the documents first."""
+    scratch, out = Scratch(spark), [docs]
+    for k, (_, stage) in enumerate(p.STAGES):
+        out.append(scratch.save(stage(spark, out[-1], sf), f"through{k}"))
+    return out
+
+
+def test_repeated_rows_and_rows_without_id(spark, sf, outputs):
+    """A clean document that stands twice comes out once and whole, and so does one without an id."""
+    docs = outputs[0][0]
+    clean = [r for r in outputs[3][1].collect() if len(r.text) > 2 * p.PASSAGE_BYTES]
+    whole = {r.doc_id: r.text for r in docs.collect()}
+    groups = near_dedup.near_duplicates(outputs[1][0], Scratch(spark)).groupBy("component_id").count().where("count = 1")
+    alone = {r.component_id for r in groups.collect()}
+    clean = [r for r in clean if whole[r.doc_id] == r.text and r.doc_id in alone]
+    twice, lost, copied = (clean[k].doc_id for k in range(3))
+    again = docs.where(F.col("doc_id").isin(twice, copied))
+    null = docs.withColumn("doc_id", F.when(F.col("doc_id") != lost, F.col("doc_id")))
+    rows = null.unionByName(again.where(F.col("doc_id") == twice)).unionByName(again.where(F.col("doc_id") == copied).withColumn("doc_id", F.lit(None).cast("long")))
+    out = through(spark, sf, rows)
+    assert [r.doc_id for r in out[0].where("doc_id is null").collect()] == [None, None]
+    for k in (2, 3, 4):
+        got = out[k].collect()
+        assert [r.text for r in got if r.doc_id == twice] == [whole[twice]]
+        assert [r.text for r in got if r.doc_id == copied] == [whole[copied]]
+        assert [r.text for r in got if r.doc_id is None] == [whole[lost]]
+    pieces = out[5].collect()
+    want = {r.doc_id: r.n for r in outputs[4][1].groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert sum(r.length for r in pieces if r.doc_id == twice) == want[twice] > 1
+    assert sum(r.length for r in pieces if r.doc_id is None) == want[lost] > 1
