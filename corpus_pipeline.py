@@ -9,7 +9,8 @@ from sparkloom.llm import classifier, decontam, near_dedup, packing, suffix_dedu
 from sparkloom.llm.common import Scratch
 from sparkloom.llm.queries import table, vocabulary
 
-#: Passages of so many bytes are removed where they repeat. Of passages of 51 words, 99 in 100 are longer.
+#: Passages of so many words are removed where they repeat, and those of so many bytes whatever their words.
+PASSAGE_WORDS = 51
 PASSAGE_BYTES = 240
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -37,9 +38,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of PASSAGE_BYTES or more that stand elsewhere too go; characters cut in two go with them."""
+    """Passages of PASSAGE_WORDS or PASSAGE_BYTES or more that stand elsewhere too go; characters cut in two go with them."""
     docs = keyed(docs)
-    cut = suffix_dedup.remove_repeats(docs, Scratch(spark), PASSAGE_BYTES, id_col="key", with_text=True).where("n_removed > 0")
+    cut = suffix_dedup.remove_repeats(docs, Scratch(spark), PASSAGE_BYTES, id_col="key", with_text=True, words=PASSAGE_WORDS).where("n_removed > 0")
     kept = cut.select(F.col("doc_id").alias("key"), F.coalesce("kept", F.lit(b"")).alias("kept")).dropDuplicates(["key"])
     return trimmed(docs.join(kept.hint("merge"), "key", "left"))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, lists, mix, prefix, ship, signed, slices, span_hash, unsigned, utf8
+from .common import U64, Scratch, lists, mix, prefix, ship, signed, slices, span_hash, unsigned, utf8, word_spans
 
 GRAM = 64
 STEP = 16
@@ -86,6 +86,39 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
     return src.mapInArrow(run, "doc_id long, n_bytes long, sha string, gram array<long>, times array<long>")
 
 
+def brief(docs: DataFrame, words: int, length: int) -> DataFrame:
+    """doc_id, name, times, start, end: runs of ``words`` words under ``length`` bytes, a row for each text and name.
+
+    ``start`` and ``end`` are lists of the spans that the runs of the name cover.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offs = utf8(b.column(1))
+            for i, j, d, o in slices(data, offs):
+                sums = prefix(d)
+                a, z, doc = word_spans(d, o)
+                n = max(0, len(a) - words + 1)
+                pick = np.flatnonzero((doc[:n] == doc[words - 1 :][:n]) & (z[words - 1 :][:n] - a[:n] < length))
+                a, z, doc = a[pick], z[pick + words - 1], doc[pick]
+                name = span_hash(sums, a, z)
+                order = np.lexsort((a, name, doc))
+                a, z, doc, name = a[order], z[order], doc[order], name[order]
+                new = np.concatenate([[True], (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])]) if len(a) else np.empty(0, bool)
+                first = np.flatnonzero(new)
+                apart = new.copy()  # runs of one name are of one size, so those that touch follow each other
+                apart[1:] |= a[1:] > z[:-1]
+                span = np.flatnonzero(apart)
+                last = np.append(span[1:], len(a)) - 1 if len(span) else span
+                count = np.diff(np.append(np.searchsorted(span, first), len(span)))
+                own = o[doc[span]]
+                ids = b.column(0).slice(i, j - i).take(pa.array(doc[first]))
+                cols = [ids, pa.array(signed(name[first])), pa.array(np.diff(np.append(first, len(a)))), lists(a[span] - own, count, pa.int64()), lists(z[last] - own, count, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "name", "times", "start", "end"])
+
+    return docs.mapInArrow(run, "doc_id long, name long, times long, start array<long>, end array<long>")
+
+
 def column(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values and counts of a list column without nulls."""
     offs = col.offsets.to_numpy()
@@ -194,14 +227,15 @@ def cut(texts: DataFrame, with_text: bool) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def remove_repeats(df: DataFrame, scratch: Scratch, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, scratch: Scratch, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, words: int = 0) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 (and kept, the bytes) for each row of ``df`` (rows of equal id are equal).
 
     Each byte is removed that a ``length``-byte string covers which also starts at another place of any text; the same
     text counts, overlaps count, and strings are judged on the input. Texts are UTF-8 bytes; with ``with_text``, kept is
     null for a text that stays whole. Of equal texts one stands for all: the others and itself, of ``length`` bytes or
     more, are covered by each other throughout, as are repeated rows. A text's own repeats are found like those of others. Null and empty
-    texts lose nothing; an empty table gives an empty result. ``length`` must be 128 at least.
+    texts lose nothing; an empty table gives an empty result. ``length`` must be 128 at least. With ``words``, strings
+    of so many words go too where they are shorter.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} at least")
@@ -216,7 +250,14 @@ def remove_repeats(df: DataFrame, scratch: Scratch, length: int = 400, id_col: s
     at = scratch.save(at, "grams")
     # tables of their own here and below, so that the rows of a hot key can be split in the join that follows
     often = scratch.save(at.groupBy("gram").agg(F.sum("times").alias("c")).where("c > 1").select("gram"), "often")
-    grams = at.join(often, "gram").groupBy("doc_id").agg(F.collect_list("gram").alias("grams"))
+    known = at.join(often, "gram").select("doc_id", "gram")
+    if words:
+        runs = scratch.save(brief(docs, words, length), "runs")
+        shared = scratch.save(runs.groupBy("name").agg(F.sum("times").alias("c")).where("c > 1").select("name"), "shared")
+        runs = scratch.save(runs.join(shared, "name").select("doc_id", F.explode(F.arrays_zip("start", "end")).alias("x")).select("doc_id", "x.*"), "brief")
+        scratch.drop("runs")
+        known = known.unionAll(runs.select("doc_id", F.lit(None).cast("long")))  # their texts are needed, no gram is
+    grams = known.groupBy("doc_id").agg(F.collect_list("gram").alias("grams"))
     # joins of texts are merge joins at every size, so a small input moves the same share of bytes as a large one
     texts = scratch.save(docs.join(grams.hint("merge"), "doc_id"), "texts")
     scratch.drop("grams")
@@ -234,7 +275,10 @@ def remove_repeats(df: DataFrame, scratch: Scratch, length: int = 400, id_col: s
     found = single.groupBy("core", "name").agg(F.count("*").alias("c")).where("c > 1").select("core", "name")
     found = scratch.save(found, "found")
     some = single.join(found, ["core", "name"]).select("doc_id", "start", (F.col("start") + length).alias("end"))
-    spans = whole.unionAll(some).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = whole.unionAll(some)
+    if words:
+        spans = spans.unionAll(runs.select("doc_id", "start", "end"))
+    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     done = scratch.save(cut(texts.select("doc_id", "text").join(spans.hint("merge"), "doc_id"), with_text).dropDuplicates(["doc_id"]), "cut")
     scratch.drop("steps", "names", "tied", "windows", "texts")
     out = base.select("doc_id", "n_bytes", "sha").join(done, "doc_id", "left").join(members, "doc_id", "left")
