@@ -130,26 +130,30 @@ def text_features(text: str | None, m: Matcher, window: int = 40) -> list[float]
     got = [(i, *v) for i, v in enumerate(values) if v[0]]
     if not got:
         return [0.0] * len(FEATURES)
-    exact = fuzzy = quote = densest = 0.0
+    exact = fuzzy = quote = densest = run = 0.0
     own: list[tuple[int, float]] = []
-    seen: set[str] = set()
+    met: tuple[set[str], set[str]] = (set(), set())  # every occurrence is judged; a word counts once as own, once as quoted
+    within: dict[str, int] = {}  # and once in a window
+    left = 0
     for i, v, miss in got:
-        if tokens[i] in seen:  # a word that a text repeats on and on counts once
-            continue
-        seen.add(tokens[i])
-        if quoted(tokens, i):
-            quote += v
+        word, cited = tokens[i], quoted(tokens, i)
+        if word not in met[cited]:
+            met[cited].add(word)
+            if cited:
+                quote += v
+            elif miss:
+                fuzzy += v
+            else:
+                exact += v
+        if cited:
             continue
         own.append((i, v))
-        if miss:
-            fuzzy += v
-        else:
-            exact += v
-    left, run = 0, 0.0
-    for i, v in own:
-        run += v
+        within[word] = within.get(word, 0) + 1
+        run += v if within[word] == 1 else 0.0
         while own[left][0] <= i - window:
-            run -= own[left][1]
+            old, x = own[left]
+            within[tokens[old]] -= 1
+            run -= x if not within[tokens[old]] else 0.0
             left += 1
         densest = max(densest, run)
     return [float(np.log1p(exact)), float(np.log1p(fuzzy)), float(np.log1p(densest)), float(np.log1p(quote)), float(np.log1p(100 * (exact + fuzzy) / len(tokens)))]

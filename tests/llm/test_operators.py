@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -368,6 +369,18 @@ def test_trie_and_automaton():
         assert (m.word(w)[0] > 0) == (near <= 1)
 
 
+def test_toxicity_judges_every_occurrence():
+    m = toxicity.Matcher({"scumbag": 2.0, "worthless": 3.0, "vermin": 1.0}, {}, frozenset())
+    exact, _, densest, quote, _ = toxicity.text_features('he wrote: "scumbag" to them. ' + "so it goes " * 20 + "you scumbag", m)
+    assert exact == densest == quote == pytest.approx(math.log1p(2.0))
+    gap = " so it goes" * 20 + " "
+    apart = toxicity.text_features("scumbag" + gap + "worthless" + gap + "vermin" + gap + "scumbag worthless vermin", m)
+    assert apart[0] == apart[2] == pytest.approx(math.log1p(6.0))
+    # in a window a word counts once, and leaves it with its last occurrence
+    again = toxicity.text_features("scumbag " * 100 + "so it goes " * 20 + "vermin", m)
+    assert again[0] == pytest.approx(math.log1p(3.0)) and again[2] == pytest.approx(math.log1p(2.0))
+
+
 def test_toxicity(spark, docs, texts, empty):
     rng = random.Random(6)
     clean = [prose(rng, 60) for _ in range(150)]
