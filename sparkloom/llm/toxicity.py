@@ -165,7 +165,7 @@ def labelled_texts(docs: DataFrame, train: DataFrame, most: int) -> DataFrame:
     return docs.join(F.broadcast(some), "doc_id").select("doc_id", "text", "label")
 
 
-def mine_lexicon(texts: DataFrame, least_docs: int, least_weight: float, size: int) -> Matcher:
+def mine_lexicon(texts: DataFrame, least_docs: int, least_weight: float) -> Matcher:
     """Words and stems that toxic texts hold much more often than others, by log-odds of documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +197,7 @@ def mine_lexicon(texts: DataFrame, least_docs: int, least_weight: float, size: i
     # a low estimate: chance finds of few documents weigh little
     weight = weight - 1.64 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     rows = df.where(F.col("toxic") >= least_docs).withColumn("w", weight).where(F.col("w") >= least_weight)
-    rows = rows.orderBy((F.col("w") * F.col("toxic")).desc(), "entry").limit(size).collect()
+    rows = rows.collect()  # the labelled sample bounds them
     words = {r.entry: min(r.w, 6.0) for r in rows if not r.entry.endswith("*")}
     stems = {r.entry[:-1]: min(r.w, 6.0) for r in rows if r.entry.endswith("*")}
     first = Matcher(words, stems, frozenset())
@@ -208,7 +208,7 @@ def mine_lexicon(texts: DataFrame, least_docs: int, least_weight: float, size: i
             yield pa.RecordBatch.from_arrays([pa.array(near, pa.string())], ["entry"])
 
     # words of clean texts that happen to be one edit from a term aren't misspellings
-    near = df.where("clean > 0 and entry not like '%*'").select("entry").mapInArrow(benign, "entry string").orderBy("entry").limit(20 * size).collect()
+    near = df.where("clean > 0 and entry not like '%*'").select("entry").mapInArrow(benign, "entry string").collect()
     return Matcher(words, stems, frozenset(r.entry for r in near))
 
 
@@ -246,18 +246,18 @@ def featured(texts: DataFrame, m: Matcher, extra: str) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, " + "".join(f"{c}, " for c in extra.split(", ") if c) + "x array<double>")
 
 
-def score_toxicity(docs: DataFrame, train: DataFrame, scratch: Scratch, threshold: float = 0.7, most_labelled: int = 20_000, lexicon_size: int = 2000, least_docs: int = 3, least_weight: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, train: DataFrame, scratch: Scratch, threshold: float = 0.7, most_labelled: int = 20_000, least_docs: int = 3, least_weight: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score and predicted for each row of ``docs``.
 
     Lexicon and weights are fitted on at most ``most_labelled`` rows of ``train`` (doc_id, label), chosen by a hash of
-    the id; every whole text is scored. Null and empty texts hold no term and get the lowest score; repeated rows are
+    the id; the lexicon holds every entry that passes the thresholds there, and every whole text is scored. Null and empty texts hold no term and get the lowest score; repeated rows are
     scored each for itself; without labels of both classes all score the share of label 1; an empty table gives an
     empty result.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     texts = scratch.save(labelled_texts(docs, train, most_labelled), "labelled")
-    m = mine_lexicon(texts, least_docs, least_weight, lexicon_size)
+    m = mine_lexicon(texts, least_docs, least_weight)
     rows = featured(texts.select("doc_id", "text", F.col("label").cast("int").alias("label")), m, "label int").collect()
     y = np.array([r.label for r in rows], float)
     if 0 < y.sum() < len(y):

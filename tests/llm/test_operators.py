@@ -381,6 +381,17 @@ def test_toxicity_judges_every_occurrence():
     assert again[0] == pytest.approx(math.log1p(3.0)) and again[2] == pytest.approx(math.log1p(2.0))
 
 
+def test_toxicity_lexicon_is_whole(spark):
+    """More terms than 2000, and more clean words one edit from them than 40,000."""
+    rng = random.Random(9)
+    terms = sorted({"".join(rng.choices("abcdefghij", k=10)) for _ in range(3000)})
+    near = sorted({c + t[1:] for t in terms for c in "klmnopqrstuvwxy"})
+    rows = [(" ".join(terms), 1)] * 3 + [(" ".join(near[k::100]), 0) for k in range(100)]
+    m = toxicity.mine_lexicon(spark.createDataFrame(rows, "text string, label int"), 3, 0.7)
+    assert sorted(m.words) == terms and len(near) > 40_000 and m.plain == set(near)
+    assert set(m.stems) == {t[:k] for t in terms for k in toxicity.STEMS}
+
+
 def test_toxicity(spark, docs, texts, empty):
     rng = random.Random(6)
     clean = [prose(rng, 60) for _ in range(150)]
