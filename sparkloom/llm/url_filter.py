@@ -35,7 +35,7 @@ def url_tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 1) & ~w.rlike(r"^\p{N}+$")))
 
 
-def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, max_len: int) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
     """rule_id and tokens of the combinations that go with label block. ``labelled``: tokens, label.
 
     Combinations are pruned by support and confidence; of those within another such combination only the smaller is
@@ -43,7 +43,7 @@ def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, m
     """
     items = labelled.select(F.when(F.col("label") == "block", F.concat("tokens", F.array(F.lit(LABEL)))).otherwise(F.col("tokens")).alias("items"))
     found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items).associationRules
-    found = found.where((F.size("consequent") == 1) & (F.col("consequent")[0] == LABEL) & (F.size("antecedent") <= max_len))
+    found = found.where((F.size("consequent") == 1) & (F.col("consequent")[0] == LABEL))
     found = found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     smaller = found.select(F.col("tokens").alias("less"))
     inside = (F.size("less") < F.size("tokens")) & (F.size(F.array_intersect("less", "tokens")) == F.size("less"))
@@ -53,7 +53,7 @@ def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, m
     return out.withColumn("rule_id", F.sha2(F.concat_ws("\x01", "tokens"), 256))
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | None = None, url_col: str = "url", min_support: float = 0.005, min_confidence: float = 0.9, max_len: int = 3, default: str = "allow", broadcast_rules: int = 50_000) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | None = None, url_col: str = "url", min_support: float = 0.005, min_confidence: float = 0.9, default: str = "allow", broadcast_rules: int = 50_000) -> DataFrame:
     """Adds host, path, rule, verdict and mined (the mined rules that fit) to each row of ``pages``.
 
     A fixed rule decides where one fits. Other URLs are blocked if a mined rule fits and get ``default`` else.
@@ -74,7 +74,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFram
         h, p = url_parts(F.col("url"))
         known = labels.select(h.alias("host"), p.alias("path"), "label")
     known = known.select(url_tokens(F.col("host"), F.col("path")).alias("tokens"), "label").where(F.size("tokens") > 0)
-    found = mine_rules(known, min_support, min_confidence, max_len).select("rule_id", "tokens")
+    found = mine_rules(known, min_support, min_confidence).select("rule_id", "tokens")
     index = found.select("rule_id", F.size("tokens").alias("need"), F.explode("tokens").alias("token"))
     small = index.limit(broadcast_rules + 1).count() <= broadcast_rules
     # URLs with the same tokens share one lookup

@@ -406,3 +406,14 @@ def test_toxicity(spark, docs, texts, empty):
     assert [got[1210 + i].predicted for i in range(5)] == [1, 0, 0, 0, 0]
     assert toxicity.score_toxicity(empty, labels, Scratch(spark)).count() == 0
     assert {r.score for r in toxicity.score_toxicity(docs, labels.limit(0), Scratch(spark)).collect()} == {0.5}
+
+
+def test_url_rules_of_any_length(spark):
+    """Only all four words together go with block, so a rule of four words is the smallest."""
+    words = ["alpha", "beta", "gamma", "delta"]
+    rows = [("http://h%d.test/%s" % (k, "/".join(words)), "block") for k in range(40)]
+    rows += [("http://h%d.test/%s" % (100 + k, "/".join(w for w in words if w != words[k % 4])), "allow") for k in range(400)]
+    labels = spark.createDataFrame(rows, "url string, label string")
+    pages = spark.createDataFrame([("http://z.test/" + "/".join(words),), ("http://z.test/" + "/".join(words[:3]),)], "url string")
+    got = {r.url: r.verdict for r in url_filter.filter_urls(pages, [], labels).collect()}
+    assert [got[r.url] for r in pages.collect()] == ["block", "allow"]
