@@ -14,7 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
 
 
 # ---------------------------------------------------------------- shared tables
@@ -66,8 +67,15 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application."""
+    """Sends this package to the executors, once for each application, and bounds Arrow batches by bytes.
+
+    A batch stands in a worker several times over (JVM buffer, socket, arrays), so one of 64 MB, the usual bound, is
+    too much for two workers beside an executor's heap. A bound that the user has set is kept.
+    """
     app = spark.sparkContext.applicationId
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "64MB", str(64 << 20)):
+        spark.conf.set(key, str(BATCH_BYTES))
     if app in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -125,40 +133,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
-INVERSE = pow(BASE, -1, 1 << 64)
-BYTE_CODE = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
-LOWER = np.arange(256)
+BASE = 0x9E3779B97F4A7C15
+LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-LOWER_CODE = BYTE_CODE[LOWER]
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)  # masks of the first k bytes of eight
+SIZE = U64(0xA24BAED4963EE407)
+
 
+def prefix(data: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """The eight bytes from each place on as one number (zeros past the end), each byte put through ``table`` first."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data if table is None else table[data]
+    return np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,)).copy()
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i up to n."""
-    if len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 16)
-        for k, b in enumerate((BASE, INVERSE)):
-            steps = np.full(size, b, U64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
 
+def span_hash(heads: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of bytes start..end, alike wherever they stand. ``heads``: see ``prefix``.
 
-def prefix(data: np.ndarray, code: np.ndarray = BYTE_CODE) -> np.ndarray:
-    """Prefix sums from which ``span_hash`` takes the hash of any run of bytes."""
-    pw, _ = powers(len(data))
-    out = np.zeros(len(data) + 1, U64)
-    np.cumsum(code[data] * pw[: len(data)], out=out[1:])
+    Eight bytes at a time are mixed with their number, so no pattern of the text (repeats, Thue-Morse words) cancels out
+    as it does in polynomials modulo a power of two.
+    """
+    size = end - start
+    out = mix((heads[start] & FIRST[np.minimum(size, 8)]) ^ SIZE)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        n = (size[long] - 1) >> 3  # further runs of eight
+        first = np.cumsum(n) - n
+        k = np.arange(1, int(n.sum()) + 1) - np.repeat(first, n)
+        at = np.repeat(start[long], n) + 8 * k
+        left = np.minimum(np.repeat(end[long], n) - at, 8)
+        v = mix((heads[at] & FIRST[left]) ^ mix(k.astype(U64) * U64(BASE)))
+        out[long] += np.add.reduceat(v, first)
+    return mix(out + size.astype(U64) * SIZE)
+
+
+def gram_hash(heads: np.ndarray, n: int, size: int) -> np.ndarray:
+    """Hash of the ``size`` bytes (8 times a power of two) from each place on, of the n bytes that ``heads`` is of."""
+    out, have = mix(heads[: max(0, n - 7)] ^ SIZE), 8
+    while have < size and len(out):
+        out = mix(out[:-have] * U64(BASE) + out[have:]) if len(out) > have else out[:0]
+        have *= 2
     return out
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of bytes start..end, alike wherever they stand."""
-    _, inv = powers(len(sums))
-    return mix((sums[end] - sums[start]) * inv[start] + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
+def run_hash(grams: np.ndarray, size: int, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+    """Hash of ``length`` bytes from ``start`` on, ``size`` of them at least, out of the hashes of all grams of that size."""
+    length = np.broadcast_to(np.asarray(length, np.int64), start.shape)
+    out = length.astype(U64) * SIZE
+    last = start + length - size
+    for k in range(0, int(length.max(initial=0)), size):
+        on = k < length
+        out = np.where(on, mix(out * U64(BASE) + grams[np.where(on, np.minimum(start + k, last), 0)]), out)
+    return out
 
 
 def word_spans(data: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

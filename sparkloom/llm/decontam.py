@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, U64, prefix, ship, shingles, slices, span_hash, utf8, word_spans
+from .common import U64, prefix, ship, shingles, slices, span_hash, utf8, word_spans
 
 #: White space and ASCII punctuation part words; case is folded before.
 PARTS = np.zeros(256, bool)
@@ -24,7 +24,7 @@ def text_shingles(col: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray,
     data, offs = utf8(pc.utf8_lower(col))
     for i, j, d, o in slices(data, offs):
         start, end, doc = word_spans(d, o, PARTS)
-        h, owner, at = shingles(span_hash(prefix(d, BYTE_CODE), start, end), doc, j - i, k)
+        h, owner, at = shingles(span_hash(prefix(d), start, end), doc, j - i, k)
         first = np.searchsorted(doc, owner)
         yield i, j, h, at - first, np.searchsorted(owner, np.arange(j - i + 1))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_CODE, U64, Scratch, lists, mix, prefix, ship, shingles, signed, slices, span_hash, utf8, word_spans
+from .common import LOWER, U64, Scratch, lists, mix, prefix, ship, shingles, signed, slices, span_hash, utf8, word_spans
 from .graph import components
 
 STEP = U64(0x9E3779B97F4A7C15)
@@ -60,7 +60,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> list[np.ndarray]
     """The set of distinct k-word shingles of each text (A-Z in lower case), sorted."""
     start, end, doc = word_spans(data, offs)
     n = len(offs) - 1
-    h, d, _ = shingles(span_hash(prefix(data, LOWER_CODE), start, end), doc, n, k)
+    h, d, _ = shingles(span_hash(prefix(data, LOWER), start, end), doc, n, k)
     cut = np.searchsorted(d, np.arange(n + 1))
     return [np.unique(h[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 

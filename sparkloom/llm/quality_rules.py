@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, SPACE, U64, fold, mix, per_text, prefix, ship, slices, span_hash, utf8, word_spans
+from .common import SPACE, U64, fold, mix, per_text, prefix, ship, slices, span_hash, utf8, word_spans
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -49,8 +49,8 @@ class Texts:
         self.n = len(self.offs) - 1
         self.start, self.end, self.doc = word_spans(self.data, self.offs)
         self.n_words = np.bincount(self.doc, minlength=self.n)
-        self.sums = prefix(self.data, BYTE_CODE)
-        self.hash = span_hash(self.sums, self.start, self.end)
+        self.heads = prefix(self.data)
+        self.hash = span_hash(self.heads, self.start, self.end)
 
     def word_chars(self) -> np.ndarray:
         return per_text(~SPACE[self.data] & ~TAIL[self.data], self.offs)
@@ -76,7 +76,7 @@ class Texts:
         np.cumsum(~SPACE[self.data], out=solid[1:])
         full = solid[end] > solid[start]
         start, end, owner = start[full], end[full], owner[full]
-        _, later = repeats(span_hash(self.sums, start, end) ^ mix(owner.astype(U64)))
+        _, later = repeats(span_hash(self.heads, start, end) ^ mix(owner.astype(U64)))
         return np.bincount(owner, minlength=self.n), np.bincount(owner[later], minlength=self.n)
 
     def repeat_words(self, window: int = 8) -> np.ndarray:

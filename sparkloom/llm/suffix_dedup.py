@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, lists, mix, prefix, ship, signed, slices, span_hash, unsigned, utf8, word_spans
+from .common import U64, Scratch, gram_hash, lists, mix, prefix, run_hash, ship, signed, slices, span_hash, unsigned, utf8, word_spans
 
 GRAM = 64
 STEP = 16
@@ -37,8 +37,8 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchors(sums: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the windows that lie within a text, and the anchor of each."""
+def anchors(grams: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows that lie within a text, and the anchor of each. ``grams``: hashes of GRAM bytes."""
     n = int(offs[-1])
     room = np.zeros(n + 1, np.int64)
     size = offs[1:] - offs[:-1]
@@ -49,15 +49,14 @@ def anchors(sums: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray
     if not len(start):
         return start, start
     out = np.empty(len(start), np.int64)
-    reach, piece = length - GRAM + 1, 8 << 20
+    reach, piece = length - GRAM + 1, 2 << 20
     for lo in range(0, n, piece):  # positions fit into 24 bits within a piece
         a, b = np.searchsorted(start, (lo, lo + piece))
         if a == b:
             continue
         hi = min(n, lo + piece + length)
         at = np.arange(lo, hi - GRAM + 1)
-        h = span_hash(sums, at, at + GRAM)
-        key = (h & ~POSITION) | (POSITION - (at - lo).astype(U64))  # of equal grams the last
+        key = (grams[lo : hi - GRAM + 1] & ~POSITION) | (POSITION - (at - lo).astype(U64))  # of equal grams the last
         out[a:b] = lo + (POSITION - (sliding_min(key, reach)[start[a:b] - lo] & POSITION)).astype(np.int64)
     return start, out
 
@@ -69,11 +68,11 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
         for b in batches:
             data, offs = utf8(b.column(1))
             for i, j, d, o in slices(data, offs):
-                sums = prefix(d)
-                _, at = anchors(sums, o, length)
+                grams = gram_hash(prefix(d), len(d), GRAM)
+                _, at = anchors(grams, o, length)
                 at = np.unique(at)
                 doc = np.searchsorted(o, at, side="right") - 1
-                gram = span_hash(sums, at, at + GRAM)
+                gram = grams[at]
                 order = np.lexsort((gram, doc))  # a text that repeats itself has one gram at many places
                 gram, doc = gram[order], doc[order]
                 first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])])) if len(gram) else order
@@ -96,12 +95,12 @@ def brief(docs: DataFrame, words: int, length: int) -> DataFrame:
         for b in batches:
             data, offs = utf8(b.column(1))
             for i, j, d, o in slices(data, offs):
-                sums = prefix(d)
+                heads = prefix(d)
                 a, z, doc = word_spans(d, o)
                 n = max(0, len(a) - words + 1)
                 pick = np.flatnonzero((doc[:n] == doc[words - 1 :][:n]) & (z[words - 1 :][:n] - a[:n] < length))
                 a, z, doc = a[pick], z[pick + words - 1], doc[pick]
-                name = span_hash(sums, a, z)
+                name = span_hash(heads, a, z)
                 order = np.lexsort((a, name, doc))
                 a, z, doc, name = a[order], z[order], doc[order], name[order]
                 new = np.concatenate([[True], (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])]) if len(a) else np.empty(0, bool)
@@ -134,14 +133,14 @@ def cells(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offs = utf8(b.column(1))
-            grams, counts = column(b.column(2))
+            given, counts = column(b.column(2))
             ends = np.concatenate([[0], np.cumsum(counts)])
             for i, j, d, o in slices(data, offs):
-                sums = prefix(d)
-                start, at = anchors(sums, o, length)
-                known = unsigned(grams[ends[i] : ends[j]]) ^ mix(np.repeat(np.arange(j - i), counts[i:j]).astype(U64))
+                grams = gram_hash(prefix(d), len(d), GRAM)
+                start, at = anchors(grams, o, length)
+                known = unsigned(given[ends[i] : ends[j]]) ^ mix(np.repeat(np.arange(j - i), counts[i:j]).astype(U64))
                 place = np.unique(at)
-                probe = span_hash(sums, place, place + GRAM) ^ mix((np.searchsorted(o, place, side="right") - 1).astype(U64))
+                probe = grams[place] ^ mix((np.searchsorted(o, place, side="right") - 1).astype(U64))
                 flag = np.zeros(len(d) + 1, bool)
                 flag[place] = np.isin(probe, known)
                 pick = flag[at]
@@ -157,8 +156,8 @@ def cells(texts: DataFrame, length: int) -> DataFrame:
                 g = np.arange(len(run_of)) - np.repeat(np.cumsum(n) - n, n) + g0[run_of]
                 a, lo, hi = a[run_of], lo[run_of], hi[run_of]
                 p, q = np.maximum(lo, a - g * STEP - STEP + 1), np.minimum(hi, a - g * STEP)
-                core = span_hash(sums, a - g * STEP, a - g * STEP - STEP + 1 + length) ^ mix(g.astype(U64))
-                around = span_hash(sums, p, q + length) ^ mix((a - p).astype(U64) + U64(1 << 32))
+                core = run_hash(grams, GRAM, a - g * STEP, length - STEP + 1) ^ mix(g.astype(U64))
+                around = run_hash(grams, GRAM, p, q - p + length) ^ mix((a - p).astype(U64) + U64(1 << 32))
                 doc = doc[first][run_of]
                 ids = b.column(0).slice(i, j - i).to_numpy()[doc]
                 cols = [pa.array(ids), pa.array(p - o[doc]), pa.array(q - p + 1), pa.array(signed(core)), pa.array(signed(around))]
@@ -178,14 +177,14 @@ def windows(texts: DataFrame, length: int) -> DataFrame:
             flat = col.flatten()
             start, n, core = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
             for i, j, d, o in slices(data, offs):
-                sums = prefix(d)
+                grams = gram_hash(prefix(d), len(d), GRAM)
                 part = slice(ends[i], ends[j])
                 doc = np.repeat(np.arange(j - i), np.diff(ends[i : j + 1]))
                 m = n[part]
                 step = np.repeat(np.arange(len(m)), m)
                 p = start[part][step] + np.arange(len(step)) - np.repeat(np.cumsum(m) - m, m)
                 at = p + o[doc[step]]
-                name = span_hash(sums, at, at + length)
+                name = run_hash(grams, GRAM, at, length)
                 ids = b.column(0).slice(i, j - i).to_numpy()[doc[step]]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(p), pa.array(core[part][step]), pa.array(signed(name))], ["doc_id", "start", "core", "name"])
 
