@@ -74,8 +74,11 @@ class Quadratic:
     log_prior: list[float]
 
     def log_density(self, x: np.ndarray, c: int) -> np.ndarray:
-        z = np.linalg.solve(self.factors[c], (x - self.means[c]).T)
-        return self.log_prior[c] - 0.5 * (z**2).sum(0) - np.log(np.diag(self.factors[c])).sum()
+        """Log density but for a constant: the Mahalanobis distance by forward substitution in the Cholesky factor."""
+        low, z = self.factors[c], (x - self.means[c]).T.copy()
+        for i in range(len(low)):
+            z[i] = (z[i] - low[i, :i] @ z[:i]) / low[i, i]
+        return self.log_prior[c] - 0.5 * (z**2).sum(0) - np.log(np.diag(low)).sum()
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of class 1; without labels of both classes, the share of class 1."""
@@ -85,14 +88,18 @@ class Quadratic:
         return 1 / (1 + np.exp(-gap))
 
 
+#: About where the statistics lie; moments are taken from there, so that nearly constant ones don't cancel out.
+CENTRE = np.array([5.0, 1.6, -3.0, -4.0, -4.0, -2.0, -4.0, -4.0, -4.0, 0.9, -2.0, -4.0])
+
+
 def moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """Count, sum and sum of products of x in each class, added up on the executors. ``rows``: x, label."""
+    """Count, sum and sum of products of x - CENTRE in each class, added up on the executors. ``rows``: x, label."""
     p = len(FEATURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            x = np.array(b.column(0).to_pylist(), float).reshape(-1, p)
+            x = np.array(b.column(0).to_pylist(), float).reshape(-1, p) - CENTRE
             x = np.column_stack([np.ones(len(x)), x])
             y = b.column(1).to_numpy(zero_copy_only=False)
             for c in (0, 1):
@@ -108,7 +115,7 @@ def moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
 
 
 def fit(stats: DataFrame, labels: DataFrame, shrinkage: float | None = None, floor: float = 0.02) -> Quadratic:
-    """Fits on all rows of ``stats`` (doc_id, x) that ``labels`` (doc_id, label 0 or 1) covers.
+    """Fits on all rows of ``stats`` (doc_id, x) that ``labels`` (doc_id, label 0 or 1) covers; repeated rows count each.
 
     A class's covariance is shrunk towards its diagonal, by the oracle-approximating amount unless ``shrinkage`` is
     given, and ``floor`` is added to each variance.
@@ -129,7 +136,7 @@ def fit(stats: DataFrame, labels: DataFrame, shrinkage: float | None = None, flo
             rho = 1.0 if spread <= 0 else min(1.0, ((1 - 2 / p) * tr2 + tr**2) / spread)
             rho = max(rho, 0.05)
         cov = (1 - rho) * cov + rho * np.diag(np.diag(cov)) + floor * np.eye(p)
-        means.append(mean)
+        means.append(mean + CENTRE)
         factors.append(np.linalg.cholesky(cov))
         prior.append(float(np.log(count / (n[0] + n[1]))))
     return Quadratic(means, factors, prior)
@@ -144,31 +151,49 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def score_quality(docs: DataFrame, train: DataFrame, scratch: Scratch, threshold: float = 0.3) -> DataFrame:
-    """doc_id, score and predicted for each row of ``docs``.
+def fitted(docs: DataFrame, train: DataFrame, scratch: Scratch, most_labelled: int, id_col: str = "doc_id", text_col: str = "text") -> Quadratic:
+    """Fits on the documents of at most ``most_labelled`` rows of ``train``, chosen by a hash of the id.
+
+    That bound is what makes the ids small enough to broadcast; texts are read where they stand, and only statistics of
+    labelled ones are computed. Equal rows of ``train`` count once.
+    """
+    some = train.select("doc_id", "label").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most_labelled)
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    texts = texts.join(F.broadcast(some.select("doc_id").distinct()), "doc_id", "left_semi")
+    stats = scratch.save(document_statistics(texts), "statistics")
+    return fit(stats, some)
+
+
+def score_quality(docs: DataFrame, train: DataFrame, scratch: Scratch, threshold: float = 0.3, most_labelled: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, score and predicted for each row of ``docs``; its other columns, whatever their names, aren't read.
 
-    The statistics of the texts are computed once, without a shuffle, and kept as a table; fitting adds up moments of
-    all labelled rows. A null or empty text has statistics like any other. Repeated rows are scored each for itself;
-    without labels of both classes every score is the share of label 1; an empty table gives an empty result.
+    The model is fitted on at most ``most_labelled`` rows of ``train`` (doc_id, label), see ``fitted``; then every text is
+    scored where it stands, without a shuffle. A null or empty text has statistics like any other. Repeated rows are
+    scored each for itself; without labels of both classes every score is the share of label 1; an empty table gives an
+    empty result.
     """
-    stats = scratch.save(document_statistics(docs), "statistics")
-    model = fit(stats, train)
+    ship(docs.sparkSession)
+    model = fitted(docs, train, scratch, most_labelled, id_col, text_col)
+    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array(b.column(1).to_pylist(), float).reshape(-1, len(FEATURES))
-            s = model.score(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+            data, offs = utf8(b.column(1))
+            for i, j, d, o in slices(data, offs):
+                s = model.score(statistics(d, o))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return stats.mapInArrow(run, "doc_id long, score double, predicted int")
+    return src.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
-def keep_good(docs: DataFrame, train: DataFrame, scratch: Scratch, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, train: DataFrame, scratch: Scratch, threshold: float = 0.3, text_col: str = "text", most_labelled: int = 50_000, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any others) with a score of ``threshold`` or more, with all their columns.
 
-    Texts are judged where they stand: nothing but statistics and labels is shuffled.
+    Texts are judged where they stand: nothing but statistics and labels of the rows that the model is fitted on (see
+    ``fitted``) is shuffled.
     """
-    model = fit(scratch.save(document_statistics(docs), "statistics"), train)
+    ship(docs.sparkSession)
+    model = fitted(docs, train, scratch, most_labelled, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
