@@ -130,10 +130,13 @@ def stuttering(t: Texts) -> np.ndarray:
     return 10 * np.bincount(t.doc[1:][same], minlength=t.n) > 2 * t.n_words
 
 
-def few_distinct_words(t: Texts) -> np.ndarray:
-    _, later = repeats(t.hash ^ mix(t.doc.astype(U64)))
+def few_distinct_words(t: Texts, run: int = 2000) -> np.ndarray:
+    """Distinct words are counted anew in each ``run`` words, so that prose of any length passes and repetition doesn't."""
+    first = np.cumsum(t.n_words) - t.n_words
+    part = (np.arange(len(t.doc)) - first[t.doc]) // run
+    _, later = repeats(t.hash ^ mix(t.doc.astype(U64) + (part.astype(U64) << U64(40))))
     distinct = np.bincount(t.doc[~later], minlength=t.n)
-    return (t.n_words >= 50) & (t.n_words <= 2000) & (10 * distinct < t.n_words)
+    return (t.n_words >= 50) & (10 * distinct < t.n_words)
 
 
 RULES: dict[str, Callable[[Texts], np.ndarray]] = {
@@ -184,17 +187,17 @@ def judge(data: np.ndarray, offs: np.ndarray, order: list[str], min_words: int =
 
 
 def quality_cascade(df: DataFrame, text_col: str = "text", sample_rows: int = 400, min_words: int = 20, repeat_percent: int = 30) -> DataFrame:
-    """Adds statistics, base_failed, kept and rejected_by to each row of ``df``; columns of these names are replaced.
+    """The columns of ``df`` but the text, then statistics, base_failed, kept and rejected_by of each row.
 
-    Cost and selectivity of the rules are estimated on at most ``sample_rows`` rows (with texts
-    that the driver can hold); they only set the order in which
+    Columns of the names added, in upper or lower case, are replaced. Cost and selectivity of the rules are estimated on
+    at most ``sample_rows`` rows (with texts that the driver can hold); they only set the order in which
     the rules run, and a text that a rule rejects isn't shown to later ones. ``kept`` doesn't depend on the order.
     Null and empty texts have no words and fail; repeated rows are judged alike; an empty table gives an empty result.
     """
     ship(df.sparkSession)
 
     order = rule_order([r[0] for r in df.select(text_col).where(F.length(text_col) <= 20_000).take(sample_rows)])
-    keep = [c for c in df.columns if c not in NAMES]
+    keep = [c for c in df.columns if c.lower() not in NAMES]
     carried = [c for c in keep if c != text_col]
     src = df.select(*[F.col(f"`{c}`") for c in keep])
     kinds = [x.split() for x in OUT.split(", ")]
