@@ -123,11 +123,18 @@ class ArchiveWriter:
         self.roll()
 
 
-def mark_revisits(pages: DataFrame, min_payload: int) -> DataFrame:
-    """Adds refers_to: of rows with equal payloads the largest page_id, for the others of them."""
-    keyed = pages.withColumn("k", F.sha2(F.col("payload"), 256)).withColumn("n", F.length("payload"))
-    first = keyed.where(F.col("n") >= min_payload).groupBy("k").agg(F.max("page_id").alias("top"), F.count("*").alias("c")).where("c > 1").select("k", "top")
-    return keyed.join(first, "k", "left").select("page_id", "url", "payload", F.when(F.col("page_id") < F.col("top"), F.col("top")).alias("refers_to"))
+def mark_revisits(pages: DataFrame, scratch: Scratch, min_payload: int) -> DataFrame:
+    """Adds refers_to: of rows with equal payloads the largest page_id, for the others of them.
+
+    Payloads meet by hash and id alone, so no common payload gathers the rows that hold it: tables of their own let Spark
+    split a hot hash, and the payloads are joined by (id, hash), which no number of rows shares.
+    """
+    keyed = pages.withColumn("k", F.sha2(F.col("payload"), 256))
+    ids = keyed.where(F.length("payload") >= min_payload).select("page_id", "k")
+    first = ids.groupBy("k").agg(F.max("page_id").alias("top"), F.count("*").alias("c")).where("c > 1").select("k", "top")
+    first = scratch.save(first, "first")
+    later = scratch.save(ids.join(first, "k").where("page_id < top").distinct(), "revisits")
+    return keyed.join(later, ["page_id", "k"], "left").select("page_id", "url", "payload", F.col("top").alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_payload: int = 0, archive_bytes: int = 64 << 20, dict_bytes: int = 32 << 10, level: int = 3) -> DataFrame:
@@ -135,7 +142,7 @@ def write_archives(pages: DataFrame, scratch: Scratch, id_col: str = "page_id",
 
     Of rows with equal payloads of at least ``min_payload`` bytes the one with the largest id is a response and the
     others revisit it; rows that share that id too are responses all. A null payload is empty, a null URL has no
-    target header, a row with a null id revisits nothing and keeps its payload. Files of failed attempts have names
+    target header, white space in a URL becomes one blank (a header is one line), a row with a null id revisits nothing and keeps its payload. Files of failed attempts have names
     of their own and stand in no returned row. An empty table gives no archive.
     """
     spark = pages.sparkSession
@@ -155,7 +162,7 @@ def write_archives(pages: DataFrame, scratch: Scratch, id_col: str = "page_id",
         names = [f"{folder}/{n}" for n, _ in out.done]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([c for _, c in out.done], pa.int64())], ["uri", "records"])
 
-    return scratch.save(mark_revisits(src, min_payload).mapInArrow(run, "uri string, records long"), "archives")
+    return scratch.save(mark_revisits(src, scratch, min_payload).mapInArrow(run, "uri string, records long"), "archives")
 
 
 # ---------------------------------------------------------------- reading
