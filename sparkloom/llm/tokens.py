@@ -19,7 +19,7 @@ PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\\s{LETT
 #: What isn't in this class (or may start a special string) goes through the library as a whole text:
 #: within the class NFC changes nothing and lower case, letters, digits and spaces are beyond doubt.
 UNSAFE = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa0-\\u012f\\u0131-\\u017f\\u2010-\\u2027\\u2030-\\u205e\\u20ac]|<\\|")
-CACHE = 400_000
+CACHE, LONGEST = 200_000, 64  # entries of a worker's table, and characters of one
 
 
 def byte_chars() -> dict[int, str]:
@@ -39,7 +39,7 @@ class Pieces(dict):
     def __missing__(self, piece: str):
         ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.chars))]
         out = self.make(ids)
-        if len(self) < CACHE:
+        if len(self) < CACHE and len(piece) <= LONGEST:
             self[piece] = out
         return out
 
@@ -53,7 +53,7 @@ class Words(dict):
 
     def __missing__(self, word: str):
         out = self.join(map(self.pieces.__getitem__, PIECES.findall(word)))
-        if len(self) < CACHE:
+        if len(self) < CACHE and len(word) <= LONGEST:
             self[word] = out
         return out
 
@@ -108,8 +108,9 @@ def frequent_words(df: DataFrame, text_col: str, path: str, sample_docs: int, si
 
 
 def count_tokens(df: DataFrame, tokenizer: str, text_col: str = "text", limit: int = 2048, sample_docs: int = 400, table_size: int = 20_000) -> DataFrame:
-    """Adds n_bytes, n_tokens and over_limit to each row of ``df``; columns of these names are replaced.
+    """The columns of ``df`` but the text, then n_bytes, n_tokens and over_limit of each row.
 
+    Columns of the names added, in upper or lower case, are replaced.
     A word is looked up in a broadcast table of frequent words (at most ``table_size`` entries, from ``sample_docs``
     documents), then in the worker's cache, then encoded; no word is ever shuffled. Null and empty texts have 0 bytes
     and 0 tokens; repeated rows are counted each for itself; an empty table gives an empty result.
@@ -117,7 +118,7 @@ def count_tokens(df: DataFrame, tokenizer: str, text_col: str = "text", limit: i
     spark = df.sparkSession
     ship(spark)
     table = spark.sparkContext.broadcast(frequent_words(df, text_col, tokenizer, sample_docs, table_size))
-    keep = [c for c in df.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
+    keep = [c for c in df.columns if c.lower() not in ("n_bytes", "n_tokens", "over_limit")]
     src = df.select(*[F.col(f"`{c}`") for c in keep])
     carried = [c for c in keep if c != text_col]
     schema = src.select(*[F.col(f"`{c}`") for c in carried], F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_tokens")).schema

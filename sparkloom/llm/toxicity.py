@@ -19,7 +19,7 @@ FEATURES = ("exact", "misspelled", "densest", "quoted", "rate")
 OPEN, CLOSE = "\"“«„‘'", "\"”»“’'"
 # Words that announce someone else's words.
 CUES = frozenset("said says wrote writes called quote quoted quotes dit écrit cite sagte schrieb zitat dijo escribió cita".split())
-CACHE = 400_000
+CACHE, LONGEST = 400_000, 64  # entries of a worker's table, and characters of one
 
 
 class Trie:
@@ -72,7 +72,7 @@ class Tokens(dict):
             x = self.matcher.word(w)
             if x[0] > v[0]:
                 v = x
-        if len(self) < CACHE:
+        if len(self) < CACHE and len(token) <= LONGEST:
             self[token] = v
         return v
 
@@ -82,7 +82,11 @@ _tokens: dict[str, Tokens] = {}
 
 
 class Matcher:
-    """Weights of words: of a term, of a stem, or of a term that the word misspells (``misspelled`` tells which)."""
+    """Weights of words: of a term, of a stem, or of a term that the word misspells (``misspelled`` tells which).
+
+    A word misspells a term of ``least`` letters or more when it is one edit away; nearly every short word is one edit
+    from some shorter term, so those are met exactly or by their stem only.
+    """
 
     def __init__(self, words: dict[str, float], stems: dict[str, float], plain: frozenset[str], least: int = 5):
         self.words, self.stems, self.plain = words, stems, plain
