@@ -11,7 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 20
@@ -63,6 +64,16 @@ class Scratch:
                     fs.delete(status.getPath(), True)
 
 
+#: Where the keys of rows without an id begin; ids are below.
+UNNAMED = 1 << 62
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """The id, or for a row without one a hash of its text above all ids, so that it is judged like other rows."""
+    own = F.xxhash64(text).bitwiseAND(F.lit(UNNAMED - 1)).bitwiseOR(F.lit(UNNAMED))
+    return F.coalesce(doc_id.cast("long"), own)
+
+
 _shipped: set[str] = set()
 
 

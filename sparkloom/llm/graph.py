@@ -1,4 +1,4 @@
-"""Connected components by contraction, all in tables of the shared folder."""
+"""Connected components by contraction and pointer doubling, all in tables of the shared folder."""
 
 from __future__ import annotations
 
@@ -11,26 +11,36 @@ from .common import Scratch
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """node and component (the smallest node reachable) of every node of ``edges`` (a, b; long).
 
-    Each round maps every node to the smallest of itself and its neighbours and carries the edges over; the tables
-    shrink from round to round, and no node's neighbours are ever gathered. Loops and repeated edges are harmless.
+    In each round every node points to the smallest of itself and its neighbours. Pointers are doubled (each node
+    takes over where its target points) until all point to a root, the nodes' labels follow, and the edges are carried
+    over to the roots. A tree of pointers of depth d takes log2(d) doublings and is one node afterwards; each node
+    that has a neighbour left is hung up or hung on, so the nodes at least halve from round to round and a path of n
+    nodes takes about log2(n) steps in any order. Each step is a job of its own that reads and writes tables, so no
+    plan grows with the rounds. No node's neighbours are ever gathered. Loops and repeated edges are harmless.
     """
     ordered = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     e = scratch.save(ordered(edges), f"{name}-edges")
-    ups: list[DataFrame] = []
+    label: DataFrame | None = None
     while not e.isEmpty():
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up"))
-        up = scratch.save(up, f"{name}-up")
-        moved = e.join(up.select(F.col("node").alias("a"), F.col("up").alias("x")), "a").select(F.col("x"), "b")
+        up, moving = scratch.save(up, f"{name}-up"), True
+        while moving:
+            # only nodes whose target isn't a root move on; roots stand in the table too
+            top = up.where("node <> up").select(F.col("node").alias("up"), F.col("up").alias("top"))
+            new = scratch.save(up.join(top, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")), f"{name}-up")
+            moving, up = not new.where("moved").isEmpty(), new.drop("moved")
+        if label is None:
+            label = up.withColumnRenamed("up", "component")
+        else:
+            root = up.select(F.col("node").alias("component"), F.col("up").alias("root"))
+            label = label.join(root, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+            label = scratch.save(label, f"{name}-label")
+        moved = e.join(up.select(F.col("node").alias("a"), F.col("up").alias("x")), "a").select("x", "b")
         moved = moved.join(up.select(F.col("node").alias("b"), F.col("up").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
         e = scratch.save(ordered(moved), f"{name}-edges")
-        ups.append(up)
-    if not ups:
+    if label is None:
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    out = ups.pop().select("node", F.col("up").alias("component"))
-    while ups:
-        top = out.select(F.col("node").alias("up"), F.col("component").alias("top"))
-        out = ups.pop().join(top, "up", "left").select("node", F.coalesce("top", "up").alias("component"))
-    out = scratch.save(out, f"{name}-result")
-    scratch.drop(f"{name}-edges", f"{name}-up")
+    out = scratch.save(label, f"{name}-result")
+    scratch.drop(f"{name}-edges", f"{name}-up", f"{name}-label")
     return out
