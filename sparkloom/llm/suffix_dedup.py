@@ -2,10 +2,10 @@
 
 Every ``length``-byte window is the head of a suffix. A window belongs to the bucket of its anchor: the 64-byte gram of
 smallest hash in it, so equal windows meet in one bucket wherever they stand. Within a bucket suffixes are told apart
-in two steps, as with a difference cover: first by the names of sample positions (every STEP-th offset from the anchor,
-a name stands for all bytes that the windows of one step have in common), then, for windows whose sample names tie while
-their surroundings differ, by what is left. Names are 64-bit hashes, counted by aggregation, so that no bucket has to
-stand in one task; the order of the suffixes isn't needed, only which of them are equal.
+in two steps: first by the names of sample positions (every STEP-th offset from the anchor, a name stands for all bytes
+that the windows of one step have in common), then, for windows whose sample names tie while their surroundings differ,
+by the name of the whole window. Two windows count as equal when both 64-bit names are. Names are counted by aggregation,
+so that no bucket has to stand in one task; the order of the suffixes isn't needed, only which of them are equal.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, gram_hash, lists, mix, prefix, run_hash, ship, signed, slices, span_hash, unsigned, utf8, word_spans
+from .common import U64, Scratch, gram_hash, lists, mix, prefix, row_key, run_hash, ship, signed, slices, span_hash, unsigned, utf8, word_spans
 
 GRAM = 64
 STEP = 16
@@ -62,7 +62,7 @@ def anchors(grams: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarra
 
 
 def anchored(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, n_bytes, sha, and the grams of the anchors of each text, with how often each occurs there."""
+    """doc_id, unnamed, n_bytes, sha, and the grams of the anchors of each text, with how often each occurs there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -78,11 +78,11 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
                 first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])])) if len(gram) else order
                 times = np.diff(np.append(first, len(gram)))
                 count = np.bincount(doc[first], minlength=j - i)
-                cols = [b.column(0).slice(i, j - i), pa.array(np.diff(o), pa.int64()), b.column(2).slice(i, j - i), lists(signed(gram[first]), count, pa.int64()), lists(times, count, pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "sha", "gram", "times"])
+                cols = [b.column(0).slice(i, j - i), b.column(3).slice(i, j - i), pa.array(np.diff(o), pa.int64()), b.column(2).slice(i, j - i), lists(signed(gram[first]), count, pa.int64()), lists(times, count, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "unnamed", "n_bytes", "sha", "gram", "times"])
 
-    src = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
-    return src.mapInArrow(run, "doc_id long, n_bytes long, sha string, gram array<long>, times array<long>")
+    src = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), "unnamed")
+    return src.mapInArrow(run, "doc_id long, unnamed boolean, n_bytes long, sha string, gram array<long>, times array<long>")
 
 
 def brief(docs: DataFrame, words: int, length: int) -> DataFrame:
@@ -232,15 +232,18 @@ def remove_repeats(df: DataFrame, scratch: Scratch, length: int = 400, id_col: s
     Each byte is removed that a ``length``-byte string covers which also starts at another place of any text; the same
     text counts, overlaps count, and strings are judged on the input. Texts are UTF-8 bytes; with ``with_text``, kept is
     null for a text that stays whole. Of equal texts one stands for all: the others and itself, of ``length`` bytes or
-    more, are covered by each other throughout, as are repeated rows. A text's own repeats are found like those of others. Null and empty
-    texts lose nothing; an empty table gives an empty result. ``length`` must be 128 at least. With ``words``, strings
+    more, are covered by each other throughout, as are repeated rows. A text's own repeats are found like those of others. Rows without an
+    id are judged like others and get a null id. Null and empty texts lose nothing; an empty table gives an empty result;
+    other columns of ``df``, whatever their names, aren't read. ``length`` must be 128 at least. With ``words``, strings
     of so many words go too where they are shorter.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} at least")
     ship(df.sparkSession)
-    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    own_id, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    docs = df.select(row_key(own_id, text).alias("doc_id"), text.alias("text"), own_id.isNull().alias("unnamed"))
     base = scratch.save(anchored(docs, length), "anchors")
+    docs = docs.drop("unnamed")
     copies = base.groupBy("sha", "n_bytes").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
     copies = scratch.save(copies, "copies")
     members = scratch.save(base.select("doc_id", "sha", "n_bytes").join(copies, ["sha", "n_bytes"]).select("doc_id", "rep").distinct(), "members")
@@ -257,7 +260,7 @@ def remove_repeats(df: DataFrame, scratch: Scratch, length: int = 400, id_col: s
         scratch.drop("runs")
         known = known.unionAll(runs.select("doc_id", F.lit(None).cast("long")))  # their texts are needed, no gram is
     grams = known.groupBy("doc_id").agg(F.collect_list("gram").alias("grams"))
-    # joins of texts are merge joins at every size, so a small input moves the same share of bytes as a large one
+    # joins of texts are merge joins at every size: one plan to know
     texts = scratch.save(docs.join(grams.hint("merge"), "doc_id"), "texts")
     scratch.drop("grams")
     steps = scratch.save(cells(texts, length), "steps")
@@ -279,12 +282,12 @@ def remove_repeats(df: DataFrame, scratch: Scratch, length: int = 400, id_col: s
         spans = spans.unionAll(runs.select("doc_id", "start", "end"))
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     done = scratch.save(cut(texts.select("doc_id", "text").join(spans.hint("merge"), "doc_id"), with_text).dropDuplicates(["doc_id"]), "cut")
-    scratch.drop("steps", "names", "tied", "windows", "texts")
-    out = base.select("doc_id", "n_bytes", "sha").join(done, "doc_id", "left").join(members, "doc_id", "left")
+    scratch.drop("steps", "names", "tied", "ties", "windows", "found", "often", "copies", "texts")
+    out = base.select("doc_id", "unnamed", "n_bytes", "sha").join(done, "doc_id", "left").join(members, "doc_id", "left")
     gone = F.col("rep").isNotNull() & (F.col("n_bytes") >= length)
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     cols = [
-        F.col("doc_id"),
+        F.when(~F.col("unnamed"), F.col("doc_id")).alias("doc_id"),
         F.col("n_bytes"),
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(gone, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", F.lit(0).cast("long"))).alias("n_spans"),
