@@ -218,19 +218,18 @@ def near_duplicates(df: DataFrame, scratch: Scratch, k: int = 5, percent: int =
     blocks = lambda docs, shingles, most: F.greatest(F.ceil(docs / most), F.ceil(shingles / block_shingles), F.lit(1)).cast("int")
     total = [F.count("*").alias("g"), F.sum("n_shingles").alias("s")]
 
-    def with_text(placed: DataFrame, name: str) -> DataFrame:
-        # a merge join at every size: one plan to know
-        return scratch.save(docs.join(placed.hint("merge"), "doc_id"), name)
-
     # 1: each document and the smallest of its bucket
     near = keys.join(hubs, "key").where("doc_id <> a").select("a", "doc_id", "n_shingles").distinct()
     near = scratch.save(near, "near")
-    fan = scratch.save(near.groupBy("a").agg(*total).select("a", blocks(F.col("g"), F.col("s"), most_block).alias("n")), "fan")
+    # the texts of all candidates, once; merge joins at every size: one plan to know
+    candidates = near.select("doc_id").unionAll(near.select(F.col("a").alias("doc_id"))).distinct()
+    pool = scratch.save(docs.join(candidates.hint("merge"), "doc_id").dropDuplicates(["doc_id"]), "candidate-texts")
+    fan = scratch.save(near.groupBy("a").agg(*total).select("a", blocks(F.col("g"), F.col("s"), -(-most_block // 8)).alias("n")), "fan")
     spokes = near.join(fan, "a").select("doc_id", F.concat_ws(":", "a", F.pmod(F.xxhash64("doc_id"), F.col("n"))).alias("group"), F.lit(1).alias("side"))
     centres = fan.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select("doc_id", F.concat_ws(":", "a", "i").alias("group"), F.lit(0).alias("side"))
-    texts = with_text(spokes.unionAll(centres), "star-texts").withColumn("label", F.col("side").cast("long"))
+    texts = pool.join(scratch.save(spokes.unionAll(centres), "spokes").hint("merge"), "doc_id").withColumn("label", F.col("side").cast("long"))
     merged = scratch.save(verify(texts, k, percent, parts), "links")
-    scratch.drop("star-texts", "near", "fan")
+    scratch.drop("near", "fan", "spokes")
     first = components(merged, scratch, "stars").select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
     # 2: buckets that still hold several groups
     keys = scratch.save(keys.join(first, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "labelled")
@@ -244,13 +243,13 @@ def near_duplicates(df: DataFrame, scratch: Scratch, k: int = 5, percent: int =
     # a class is dealt into blocks; each document goes to the pairs that its block is part of
     block = F.least(F.lit(most_block), F.greatest(F.lit(least_block), F.ceil(F.col("g") / 16)))
     size = scratch.save(classes.groupBy("component").agg(*total).select("component", blocks(F.col("g"), F.col("s"), block).alias("n")), "sizes")
-    placed = classes.join(size, "component").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
-    dealt = with_text(placed, "class-texts").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    placed = scratch.save(classes.join(size, "component").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int")), "blocks")
+    dealt = pool.join(placed.hint("merge"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     group = F.concat_ws(":", "component", F.least("own", "other"), F.greatest("own", "other"))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     more = scratch.save(verify(dealt.select(group.alias("group"), side.alias("side"), "doc_id", "label", "text"), k, percent, parts), "links")
     found = components(merged.unionAll(more), scratch, "classes")
-    scratch.drop("class-texts", "inside", "placed")
+    scratch.drop("candidate-texts", "inside", "placed", "blocks")
     out = sk.select("doc_id", "unnamed", "n_shingles").join(members, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = out.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep")
