@@ -63,7 +63,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.filter_urls(pages, URL_RULES, scratch=Scratch(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def scored(spark: SparkSession, sf_dir: str, column: str, folds: int, test: int, score) -> DataFrame:
