@@ -79,7 +79,11 @@ class Items:
         return out
 
     def pairs(self, prints: np.ndarray, size: int) -> np.ndarray:
-        """Mask of windows and items that share a block and lie within the radius."""
+        """Mask of windows and items that share a block and lie within the radius.
+
+        At 22 of 64 bits the blocks are 2 or 3 bits wide and nearly all pairs share one, so it is the count of known
+        shingles, taken before, that leaves few windows, and the distance that leaves few items.
+        """
         own = self.prints[size]
         shared = np.zeros((len(prints), len(own)), bool)
         for mask in self.masks:
@@ -117,13 +121,14 @@ class Items:
         return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 22, block_items: int = 20_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 22, block_items: int = 20_000, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, similarity, start_word and n_shingles: the best window of each document for each item it holds.
 
     Every window of as many k-word shingles as an item has is compared by SimHash (64 bits, within ``radius``) and
-    then exactly, by bags of shingles. The items are a stated query set: they are read in blocks of ``block_items`` and
-    each block meets all documents in one pass without a shuffle. Null and empty texts hold nothing and match nothing;
-    a text of fewer than k words is one shingle; repeated rows give repeated results, of equal windows the first
+    then exactly, by bags of shingles. The items are a stated query set: they are read in blocks of ``block_items`` items
+    or ``block_bytes`` bytes of text, which bounds what is broadcast (a single longer item is a block of its own), and
+    each block meets all documents in one pass without a shuffle. Columns of ``docs`` but the two named aren't read. Null and empty texts hold nothing and match nothing;
+    a text of fewer than k words is one shingle; repeated rows give repeated results, rows and items without an id have null there, items of one id count as one, of equal windows the first
     counts; without documents or items the result is empty.
     """
     spark = docs.sparkSession
@@ -146,31 +151,32 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: flo
                     total = np.concatenate([[0], np.cumsum(own.hits(h))])
                     for n in np.flatnonzero(total[cut[1:]] > total[cut[:-1]]):
                         a, e = cut[n], cut[n + 1]
-                        for item, (s, w, m) in sorted(own.find(h[a:e], threshold).items()):
+                        for item, (s, w, m) in sorted(own.find(h[a:e], threshold).items(), key=lambda x: (x[0] is None, x[0])):
                             rows.append((ids[i + int(n)].as_py(), item, s, int(at[a + w]), m))
                 cols = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if n == "similarity" else pa.int64()) for c, n in zip(cols, names, strict=True)], names)
 
         return src.mapInArrow(run, schema)
 
-    found = [finder(items) for items in item_blocks(benchmark, k, radius, block_items, item_col, item_text)]
+    found = [finder(items) for items in item_blocks(benchmark, k, radius, block_items, block_bytes, item_col, item_text)]
     return reduce(DataFrame.unionAll, found)
 
 
-def item_blocks(benchmark: DataFrame, k: int, radius: int, block_items: int, item_col: str, item_text: str) -> Iterator[Items]:
-    """The items, ``block_items`` at a time; one empty block where there are none."""
-    ids, texts, any_ = [], [], False
+def item_blocks(benchmark: DataFrame, k: int, radius: int, block_items: int, block_bytes: int, item_col: str, item_text: str) -> Iterator[Items]:
+    """The items, at most ``block_items`` of them and about ``block_bytes`` bytes of text at a time; one empty block where there are none."""
+    ids, texts, any_, size = [], [], False, 0
     for item, text in benchmark.select(F.col(f"`{item_col}`").cast("long"), F.col(f"`{item_text}`")).toLocalIterator():
         ids.append(item)
         texts.append(text)
-        if len(ids) == block_items:
+        size += len(text.encode()) if text else 0
+        if len(ids) == block_items or size >= block_bytes:
             yield Items(ids, texts, k, radius)
-            ids, texts, any_ = [], [], True
+            ids, texts, any_, size = [], [], True, 0
     if ids or not any_:
         yield Items(ids, texts, k, radius)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 22, block_items: int = 20_000, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 22, block_items: int = 20_000, block_bytes: int = 8 << 20, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns; see ``find_leaks``. Nothing is shuffled."""
     ship(docs.sparkSession)
 
@@ -190,4 +196,4 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: flo
 
         return df.mapInArrow(run, df.schema)
 
-    return reduce(without, item_blocks(benchmark, k, radius, block_items, item_col, item_text), docs)
+    return reduce(without, item_blocks(benchmark, k, radius, block_items, block_bytes, item_col, item_text), docs)
