@@ -101,6 +101,12 @@ def literal(kind: str, v: Any) -> Column:
     return F.lit(v).cast(SPARK_TYPES.get(kind, "string"))
 
 
+def whole_number(text: str) -> int | None:
+    """The number that a text is the usual form of, if 64 bits hold it."""
+    n = int(text) if re.fullmatch(r"0|-?[1-9][0-9]{0,18}", text) else None
+    return n if n is not None and -(1 << 63) <= n < 1 << 63 else None
+
+
 def comparable(kind: str, c: Column) -> Column:
     """What filters, sorting and aggregates look at."""
     return c.getField("timestamp") if kind == "OffsetDateTime" else c

@@ -47,6 +47,11 @@ def typed(value: Any, kind: T.DataType) -> Column:
     return F.lit(value).cast(kind)
 
 
+def texts(df: DataFrame, *names: str) -> DataFrame:
+    other = [n for n in names if not isinstance(df.schema[n].dataType, T.StringType)]
+    return df.withColumns({n: F.col(n).cast("string") for n in other}) if other else df
+
+
 class Transaction:
     """Staged tables over a store or a binding. Reads see the changes made so far."""
 
@@ -56,12 +61,13 @@ class Transaction:
         self.changed: dict[str, DataFrame] = {}
 
     def table(self, t: Type) -> DataFrame:
+        """Rows as changed so far; ids are texts here, as new ones are."""
         got = self.changed.get(t.collection)
-        return self.store.table(t) if got is None else got
+        return texts(self.store.table(t), "id") if got is None else got
 
     def edges(self, r: Relation) -> DataFrame:
         got = self.changed.get(f"_edges/{r.name}")
-        return self.store.edges(r) if got is None else got
+        return texts(self.store.edges(r), "_from", "_to") if got is None else got
 
     def set_edges(self, r: Relation, df: DataFrame) -> None:
         self.changed[f"_edges/{r.name}"] = df.select("_from", "_to")

@@ -132,6 +132,18 @@ class Compiler:
         e = self.binding.edges(relation)
         return e if forward else e.select(F.col("_to").alias("_from"), F.col("_from").alias("_to"))
 
+    def id_test(self, s: Scope, value: Column, op: str, v: Any) -> Column:
+        """A filter on an object's own id. Where ids are stored as numbers, the literals become numbers, not the column."""
+        if self.binding.id_type(s.type.name) == "string":
+            return semantics.test(value, "ID", op, v)
+        if op in ("", "not", "in", "not_in") and v is not None and not (isinstance(v, list) and None in v):
+            texts = [semantics.parse_scalar("ID", x) for x in (v if isinstance(v, list) else [v])]
+            numbers = [n for x in texts if (n := semantics.whole_number(x)) is not None]
+            # never null, and in a form that reaches the scan
+            hit = F.lit(False) if not numbers else value.eqNullSafe(F.lit(numbers[0]).cast("bigint")) if len(numbers) == 1 else value.isNotNull() & value.isin(numbers)
+            return ~hit if op.startswith("not") else hit
+        return semantics.test(value.cast("string"), "ID", op, v)
+
     # ---------------------------------------------------------------- to-1 joins
 
     def target(self, s: Scope, f: Field) -> tuple[Column, Type]:
@@ -144,8 +156,11 @@ class Compiler:
             node, key = fresh("n"), fresh("j")
             right = self.as_node(t, node)
             if f.kind == "reference":
-                left = s.frame.add(s.node.getField(f.key_field or f.name).cast("string"), "f")
-                right = right.select(node, F.col(node).getField(t.key.name).cast("string").alias(key)).where(F.col(key).isNotNull())
+                # both sides as they are stored if the model has one type for them
+                alike = not f.key_field or semantics.SPARK_TYPES.get(s.type.fields[f.key_field].type_name) == semantics.SPARK_TYPES.get(t.key.type_name)
+                plain = (lambda c: c) if alike else (lambda c: c.cast("string"))
+                left = s.frame.add(plain(s.node.getField(f.key_field or f.name)), "f")
+                right = right.select(node, plain(F.col(node).getField(t.key.name)).alias(key)).where(F.col(key).isNotNull())
                 s.frame.df = s.frame.df.join(right, F.col(left) == F.col(key), "left").drop(key, left)
             else:
                 left, to = s.frame.add(s.node.getField("id"), "f"), fresh("t")
@@ -222,6 +237,8 @@ class Compiler:
             return self.map_quantifier(value, op, v)
         if op not in semantics.operators(t.name, t.kind == "enum"):
             raise QueryError("BAD_INPUT", f"{f.name} has no filter {op}")
+        if f.name == "id" and s.type.kind == "root":
+            return self.id_test(s, value, op, v)
         return semantics.test(value, "String" if t.kind == "enum" else t.name, op, v)
 
     def nested(self, s: Scope, v: Any) -> Column:
@@ -284,14 +301,14 @@ class Compiler:
         elif op not in ("some", "every", "none"):
             raise QueryError("BAD_INPUT", f"{f.name} has no filter {op}")
         child = self.scan(t)
-        p = truth(self.predicate(child, v or {}))
-        ids = child.frame.df.where(~p if op == "every" else p).select(F.col(child.frame.keys[0]).alias("_to"))
+        p = self.predicate(child, v or {})
+        ids = child.frame.df.where(~truth(p) if op == "every" else p).select(F.col(child.frame.keys[0]).alias("_to"))
         hit, own = fresh("h"), s.frame.add(s.node.getField("id"), "f")
-        found = self.edges(s.type, f).join(ids, "_to", "left_semi").select(F.col("_from").alias(hit)).distinct()
+        found = self.edges(s.type, f).join(ids, "_to", "left_semi").select(F.col("_from").alias(hit))
         if top:
             s.frame.df = s.frame.df.join(found, F.col(own) == F.col(hit), "left_semi" if op == "some" else "left_anti").drop(own)
             return F.lit(True)
-        s.frame.df = s.frame.df.join(found, F.col(own) == F.col(hit), "left").drop(own)
+        s.frame.df = s.frame.df.join(found.distinct(), F.col(own) == F.col(hit), "left").drop(own)
         return F.col(hit).isNotNull() if op == "some" else F.col(hit).isNull()
 
     # ---------------------------------------------------------------- order and pages
@@ -326,13 +343,13 @@ class Compiler:
                 else:
                     at = at.inner(f.name, at.node.getField(f.name), t, s.frame)
                 kind = "String" if t.kind == "enum" else t.name
-            out.append(Order(name, comparable(kind, at.node), semantics.plain_kind(kind), way == "DESC"))
+            out.append(Order(name, at.node.cast("string") if kind == "ID" else comparable(kind, at.node), semantics.plain_kind(kind), way == "DESC"))
         return out
 
     def absolute(self, s: Scope, orders: list[Order]) -> list[Order]:
         if any(o.name == "id" for o in orders) or "id" not in s.type.fields:
             return orders
-        return [*orders, Order("id", s.node.getField("id"), "ID", bool(orders) and all(o.down for o in orders))]
+        return [*orders, Order("id", s.node.getField("id").cast("string"), "ID", bool(orders) and all(o.down for o in orders))]
 
     @staticmethod
     def cursor(orders: list[Order]) -> Column:
@@ -429,7 +446,7 @@ class Compiler:
             return F.when(node.getField("id").isNotNull() | node.isNotNull(), inner)
         value = s.node.getField(name)
         if not t.is_object:
-            return value
+            return value.cast("string") if f.type_name == "ID" else value
         inner = self.project(s.inner(name, value, t, s.frame), sel.children, at=path)
         return inner if t.kind == "extension" else F.when(value.isNotNull(), inner)
 
@@ -647,7 +664,7 @@ class Compiler:
                 items = F.transform(items, lambda x: x.getField("timestamp"))
             return aggregates.of_array(f.aggregate, items, kind)
         child = self.follow(s, f, t, keep_null=keep)
-        value = comparable(kind, child.node)
+        value = child.node.cast("string") if kind == "ID" else comparable(kind, child.node)
         v, out = fresh("v"), fresh("g")
         if t.kind in ("root", "child"):
             value = value.getField("id")

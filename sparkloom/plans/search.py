@@ -66,6 +66,7 @@ class Search:
         f, op = self.c.split(s.type, key)
         t = self.c.model.types[f.type_name]
         value = s.node.getField(f.name)
+        value = value.cast("string") if t.name == "ID" and not f.is_list else value
         if op == "exists":
             there = value.isNotNull() & (F.size(value) > 0 if f.is_list else F.lit(True))
             return truth(there) == F.lit(bool(v))

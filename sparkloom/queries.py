@@ -115,9 +115,6 @@ ask("relation_to1", "{ allOrders { key customer { name nation { name } } } }", [
 ask("relation_to_n", "{ allCustomers { key orders(orderBy: key_ASC) { key } } }", ["key", "array_join(transform(orders, x -> cast(x.key as string)), ',') AS orders"], "SELECT c_custkey AS key, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey), '') AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 ask("relation_inverse", "{ allLabels { id quality document { lang } } }", ["id", "quality", "document.lang AS lang"], "SELECT CAST(l.doc_id AS VARCHAR) AS id, quality, lang FROM labels l LEFT JOIN documents d USING (doc_id)")
 ask("reference_dangling", "{ allCustomers { key oddNationKey oddNation { name } } }", ["key", "oddNationKey AS odd", "oddNation.name AS name"], "SELECT c_custkey AS key, CASE WHEN c_nationkey % 2 = 1 THEN c_nationkey ELSE c_nationkey + 100 END AS odd, CASE WHEN c_nationkey % 2 = 1 THEN n_name END AS name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
-ask("reference_in_list", "{ allBaskets(filter: {key_lt: 200}) { key items { part { brand } } } }", ["key", "array_join(array_sort(array_distinct(transform(items, x -> x.part.brand))), ',') AS brands"], "SELECT o_orderkey AS key, coalesce(string_agg(DISTINCT p_brand, ',' ORDER BY p_brand), '') AS brands FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey WHERE o_orderkey < 200 GROUP BY 1")
-ask("root_parent", "{ allBaskets(filter: {key_lt: 300}) { key items { basket { status key } } } }", ["key", "get(array_distinct(transform(items, x -> concat(x.basket.status, x.basket.key))), 0) AS up"], "SELECT o_orderkey AS key, min(CASE WHEN l_orderkey IS NOT NULL THEN o_orderstatus || o_orderkey END) AS up FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 300 GROUP BY 1")
-# both over every basket
 ask("reference_in_list_all", "{ allBaskets { key items { part { brand } } } }", ["key", "array_join(array_sort(array_distinct(transform(items, x -> x.part.brand))), ',') AS brands"], "SELECT o_orderkey AS key, coalesce(string_agg(DISTINCT p_brand, ',' ORDER BY p_brand), '') AS brands FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1")
 ask("root_parent_all", "{ allBaskets { key items { basket { status key } } } }", ["key", "get(array_distinct(transform(items, x -> concat(x.basket.status, x.basket.key))), 0) AS up"], "SELECT o_orderkey AS key, min(CASE WHEN l_orderkey IS NOT NULL THEN o_orderstatus || o_orderkey END) AS up FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 ask("aliases_fragments", "query { allNations { ...n r: region { t: name } } } fragment n on Nation { k: key name }", ["k", "name", "r.t AS region"], "SELECT n_nationkey AS k, n_name AS name, r_name AS region FROM nation LEFT JOIN region ON r_regionkey = n_regionkey")

@@ -113,7 +113,7 @@ def engine(spark: SparkSession, sf_dir: str, options: Options | None = None) ->
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
     def keyed(df: DataFrame, key: str) -> DataFrame:
-        return df.withColumn("id", F.col(key).cast("string"))
+        return df.withColumn("id", F.col(key))
 
     def customers() -> DataFrame:
         c = F.col
@@ -139,7 +139,7 @@ def engine(spark: SparkSession, sf_dir: str, options: Options | None = None) ->
     def conversations() -> DataFrame:
         null = F.lit(None)
         turn = F.struct(F.col("turn").alias("number"), "role", "text")
-        df = read("conversations").groupBy(F.col("conv_id").cast("string").alias("id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+        df = read("conversations").groupBy(F.col("conv_id").alias("id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
         return df.withColumn("turns", F.transform("turns", lambda x: F.struct(null.cast("string").alias("id"), null.cast("timestamp").alias("createdAt"), null.cast("timestamp").alias("updatedAt"), x.getField("number").alias("number"), x.getField("role").alias("role"), x.getField("text").alias("text"))))
 
     c = F.col
