@@ -59,18 +59,37 @@ class Transaction:
         self.store, self.model, self.spark, self.user = store, store.model, store.spark, user
         self.now, self.new_id = clock(), new_id
         self.changed: dict[str, DataFrame] = {}
+        self.added: dict[str, DataFrame] = {}  # rows new in tables that stay as they are otherwise
 
     def table(self, t: Type) -> DataFrame:
         """Rows as changed so far; ids are texts here, as new ones are."""
         got = self.changed.get(t.collection)
-        return texts(self.store.table(t), "id") if got is None else got
+        return self.with_added(t.collection, texts(self.store.table(t), "id") if got is None else got)
+
+    def with_added(self, name: str, df: DataFrame) -> DataFrame:
+        return df.unionByName(self.added[name]) if name in self.added else df
+
+    def add(self, name: str, df: DataFrame) -> None:
+        """New rows; those of a table that is written anew anyway go there."""
+        if name in self.changed:
+            self.changed[name] = self.changed[name].unionByName(df)
+        else:
+            self.added[name] = self.added[name].unionByName(df) if name in self.added else df
+
+    def put(self, name: str, df: DataFrame) -> None:
+        """The table as a whole, added rows among them."""
+        self.changed[name] = df
+        self.added.pop(name, None)
+
+    def ids(self, ids: list[str]) -> DataFrame:
+        return self.spark.createDataFrame([(i,) for i in ids], "id string")
 
     def edges(self, r: Relation) -> DataFrame:
         got = self.changed.get(f"_edges/{r.name}")
-        return texts(self.store.edges(r), "_from", "_to") if got is None else got
+        return self.with_added(f"_edges/{r.name}", texts(self.store.edges(r), "_from", "_to") if got is None else got)
 
     def set_edges(self, r: Relation, df: DataFrame) -> None:
-        self.changed[f"_edges/{r.name}"] = df.select("_from", "_to")
+        self.put(f"_edges/{r.name}", df.select("_from", "_to"))
 
     def binding(self) -> Binding:
         b = Binding(self.spark, self.model)
@@ -129,10 +148,9 @@ class Transaction:
         except BadValue as e:
             raise QueryError("BAD_INPUT", str(e)) from e
         schema = self.table(t).schema
-        self.changed[t.collection] = self.table(t).unionByName(self.spark.createDataFrame(rows, schema))
+        self.add(t.collection, self.spark.createDataFrame(rows, schema))
         self.check_unique(t, [d["id"] for d in docs])
-        for source, f, how, v in links:
-            self.link(t, f, source, how, v)
+        self.link_all(t, links)
         return [d["id"] for d in docs]
 
     def check_unique(self, t: Type, ids: list[str]) -> None:
@@ -146,37 +164,57 @@ class Transaction:
                 there = there & c.isNotNull()
             df = self.table(t).where(there).select(F.col("id"), *[c.alias(f"u{i}") for i, c in enumerate(cols)])
             keys = [f"u{i}" for i in range(len(cols))]
-            mine = df.where(F.col("id").isin(ids)).select(keys).distinct()
+            mine = df.join(self.ids(ids), "id", "left_semi").select(keys).distinct()
             if not df.join(mine, keys, "left_semi").groupBy(*keys).count().where("count > 1").isEmpty():
                 raise QueryError("UNIQUE_CONSTRAINT_VIOLATION", f"{t.name}: {', '.join(names)} must be unique")
 
     # ---------------------------------------------------------------- edges
 
-    def link(self, t: Type, f: Field, source: str, how: str, v: Any) -> None:
+    def link_all(self, t: Type, wants: list[tuple[str, Field, str, Any]]) -> None:
+        """Relation inputs (source, field, how, value), those of one field and kind together."""
+        groups: dict[tuple[str, str], tuple[Field, list[tuple[str, Any]]]] = {}
+        for source, f, how, v in wants:
+            groups.setdefault((f.name, how), (f, []))[1].append((source, v))
+        for (_, how), (f, pairs) in groups.items():
+            self.link(t, f, how, pairs)
+
+    def link(self, t: Type, f: Field, how: str, wants: list[tuple[str, Any]]) -> None:
+        """Sets, adds or removes the edges of some objects at once; where one side has room for one, the last wins."""
         target = self.model.types[f.type_name]
         if how == "create":
-            made = self.create(target, v if isinstance(v, list) else [v] if v is not None else [])
-            how, v = ("add" if f.is_list else "set"), (made if f.is_list else made[0] if made else None)
-        ids = list(dict.fromkeys([str(x) for x in v] if isinstance(v, list) else [] if v is None else [str(v)]))
-        if how in ("set", "add") and ids:
-            found = self.table(target).where(F.col("id").isin(ids)).count()
-            if found < len(ids):
-                raise QueryError("NOT_FOUND", f"{target.name} objects to link with don't exist")
+            inputs = [v if isinstance(v, list) else [v] if v is not None else [] for _, v in wants]
+            made = iter(self.create(target, [x for own in inputs for x in own]) if any(inputs) else [])
+            wants = [(source, [next(made) for _ in own]) for (source, _), own in zip(wants, inputs, strict=True)]
+            how = "add" if f.is_list else "set"
+        pairs = list(dict.fromkeys((source, str(x)) for source, v in wants for x in (v if isinstance(v, list) else [] if v is None else [v])))
         r, forward = self.model.relation(t, f)
-        e = self.edges(r)
         own, other = ("_from", "_to") if forward else ("_to", "_from")
+        frame = lambda rows: self.spark.createDataFrame(rows, f"{own} string, {other} string").select("_from", "_to")
+        e = self.edges(r)
         if how == "remove":
-            self.set_edges(r, e.where(~((F.col(own) == source) & F.col(other).isin(ids))))
+            if pairs:
+                self.set_edges(r, e.join(frame(pairs), ["_from", "_to"], "left_anti"))
             return
-        if how == "set":
-            e = e.where(F.col(own) != source)
+        if pairs:
+            there = self.table(target).select("id")
+            if not self.ids(list({x for _, x in pairs})).join(there, "id", "left_anti").isEmpty():
+                raise QueryError("NOT_FOUND", f"{target.name} objects to link with don't exist")
         back = self.model.inverse(t, f)
-        if ids and back is not None and not back.is_list:  # the other side has room for one
-            e = e.where(~F.col(other).isin(ids))
-        if ids and not f.is_list:
-            e = e.where(F.col(own) != source)
-        new = self.spark.createDataFrame([(source, i) if forward else (i, source) for i in ids], EDGE)
-        self.set_edges(r, e.unionByName(new).dropDuplicates(["_from", "_to"]))
+        single = back is not None and not back.is_list  # the other side has room for one
+        if single:
+            pairs = [(source, x) for x, source in {x: source for source, x in pairs}.items()]
+        if not f.is_list:
+            pairs = list({source: x for source, x in pairs}.items())
+        sources = [s for s, _ in wants] if how == "set" else [s for s, _ in pairs] if not f.is_list else []
+        kept = e
+        if sources:
+            kept = kept.join(self.ids(sources).withColumnRenamed("id", own), own, "left_anti")
+        if single and pairs:
+            kept = kept.join(self.ids([x for _, x in pairs]).withColumnRenamed("id", other), other, "left_anti")
+        if kept is not e and not e.join(kept, ["_from", "_to"], "left_anti").isEmpty():
+            self.set_edges(r, kept)
+        if pairs:
+            self.add(f"_edges/{r.name}", frame(pairs).join(kept, ["_from", "_to"], "left_anti"))
 
     # ---------------------------------------------------------------- updating
 
@@ -291,14 +329,49 @@ class Transaction:
         if new:
             new["updatedAt"] = F.lit(self.now)
             df = df.select(*[F.when(hit, new[f.name].cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name) if f.name in new else F.col(f.name) for f in df.schema.fields])
-            self.changed[t.collection] = df
+            self.put(t.collection, df)
             if not g.always and not df.where(hit & ~g.column(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).isEmpty():
                 raise QueryError("PERMISSION_DENIED", f"Not authorized to set these values of {t.name} objects")
             if ids:
                 self.check_unique(t, ids)
-        for f, how, v in links:
-            for i in ids or []:
-                self.link(t, f, i, how, v)
+        self.link_all(t, [(i, f, how, v) for i in ids or [] for f, how, v in links])
+
+    def simple(self, t: Type, given: dict[str, Any]) -> bool:
+        """Whether an input sets plain scalars only, so that many of its kind are one join."""
+        return all((f := t.fields.get(n)) is not None and f.kind == "plain" and not f.is_list and self.model.types[f.type_name].kind in ("scalar", "enum") and n not in ("id", "createdAt", "updatedAt") for n in given)
+
+    def update_simple(self, t: Type, inputs: dict[str, dict[str, Any]]) -> None:
+        """Changes each object named by id as its input says (see ``simple``), in one join whatever their number."""
+        g = auth.grant(self.model, t, self.user, "update")
+        df = self.table(t)
+        names = list(dict.fromkeys(n for given in inputs.values() for n in given))
+        for n in names:
+            if not auth.field_allowed(t.fields[n], self.user, "update"):
+                raise QueryError("PERMISSION_DENIED", f"Not authorized to write {t.name}.{n}")
+        try:
+            rows = [{"_id": i, **{f"_set_{n}": n in given for n in names}, **{f"_new_{n}": v for n, v in to_row(self.model, t, given).items() if n in names}} for i, given in inputs.items()]
+        except BadValue as e:
+            raise QueryError("BAD_INPUT", str(e)) from e
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        schema = T.StructType([T.StructField("_id", T.StringType()), *[T.StructField(f"_set_{n}", T.BooleanType()) for n in names], *[T.StructField(f"_new_{n}", kinds[n]) for n in names]])
+        new = self.spark.createDataFrame([tuple(x[f.name] for f in schema.fields) for x in rows], schema)
+        ids = self.ids(list(inputs))
+
+        def refused(rows: DataFrame) -> bool:
+            whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+            return not g.always and not rows.join(ids, "id", "left_semi").where(~g.column(whole)).isEmpty()
+
+        if refused(df):
+            raise QueryError("PERMISSION_DENIED", f"Not authorized to update {t.name} objects")
+        if not names:
+            return
+        both = df.join(new, F.col("id") == F.col("_id"), "left")
+        hit = F.col("_id").isNotNull()
+        cols = {n: F.when(hit & F.col(f"_set_{n}"), F.col(f"_new_{n}")).otherwise(F.col(n)) for n in names} | {"updatedAt": F.when(hit, F.lit(self.now)).otherwise(F.col("updatedAt"))}
+        self.put(t.collection, both.select(*[cols[c].cast(kinds[c]).alias(c) if c in cols else F.col(f"`{c}`") for c in df.columns]))
+        if refused(self.table(t)):
+            raise QueryError("PERMISSION_DENIED", f"Not authorized to set these values of {t.name} objects")
+        self.check_unique(t, list(inputs))
 
     # ---------------------------------------------------------------- deleting
 
@@ -336,7 +409,7 @@ class Transaction:
             for side in sides:
                 e = e.join(gone.select(F.col("id").alias(side)), side, "left_anti")
             self.set_edges(r, e)
-        self.changed[t.collection] = self.table(t).join(gone, "id", "left_anti").select(*self.table(t).columns)
+        self.put(t.collection, self.table(t).join(gone, "id", "left_anti").select(*self.table(t).columns))
 
 
 def getter(x: Column) -> Callable[[str], Column]:
@@ -350,9 +423,15 @@ class Mutator:
         self.store, self.options = store, options or Options()
         self.clock = clock or (lambda: dt.datetime.now(dt.timezone.utc))
         self.new_id = new_id or (lambda: uuid.uuid4().hex)
+        self.frames = False
+
+    def execute(self, text: str, variables: dict[str, Any] | None = None, user: auth.User | None = None, mode: str = "commit", name: str | None = None, frames: bool = False) -> tuple[dict[str, Any], list[Problem]]:
+        """Data and problems. With any problem nothing is changed.
 
-    def execute(self, text: str, variables: dict[str, Any] | None = None, user: auth.User | None = None, mode: str = "commit", name: str | None = None) -> tuple[dict[str, Any], list[Problem]]:
-        """Data and problems. With any problem nothing is changed."""
+        With ``frames``, what updateAll and deleteAll return stays a DataFrame of the selected fields, for results that
+        the driver can't hold.
+        """
+        self.frames = frames
         kind, fields = sdl.operation(text, variables, name)
         if kind != "mutation":
             raise QueryError("NOT_SUPPORTED", "this is no mutation")
@@ -375,7 +454,7 @@ class Mutator:
                     data[f.alias] = None
                     problems.append(Problem((f.alias,), "ATOMICITY_SKIP", "a later mutation failed"))
         elif mode == "commit":
-            self.store.commit(tx.changed)
+            self.store.commit(tx.changed, tx.added)
         return data, problems
 
     def field(self, tx: Transaction, f: Sel, problems: list[Problem]) -> Any:
@@ -418,26 +497,33 @@ class Mutator:
         by = {r.pop("__id"): r for r in rows}
         return [by[i] for i in ids if i in by]
 
-    def shape(self, tx: Transaction, t: Type, c: Compiler, flt: dict[str, Any], sel: list[Sel], problems: list[Problem], args: dict[str, Any] | None = None) -> list[Any]:
+    def shape(self, tx: Transaction, t: Type, c: Compiler, flt: dict[str, Any], sel: list[Sel], problems: list[Problem], args: dict[str, Any] | None = None, frame: bool = False) -> Any:
         s = c.where(c.scan(t), flt)
         orders = c.page(s, {k: v for k, v in (args or {}).items() if k in ("orderBy", "first", "skip", "after")}, False) if args else None
         df = Engine.shaped(self, c, s, sel, orders, ())
         problems += c.problems
-        return [to_json(r["out"]) for r in df.collect()]
+        return df.select("out.*") if frame else [to_json(r["out"]) for r in df.collect()]
 
     def update(self, tx: Transaction, t: Type, inputs: list[dict[str, Any]], f: Sel, problems: list[Problem]) -> list[Any]:
         ids = [str(u["id"]) for u in inputs]
         if len(set(ids)) < len(ids):
             raise QueryError("BAD_INPUT", "an id stands twice in the input")
-        if tx.table(t).where(F.col("id").isin(ids)).count() < len(ids):
+        rows = tx.table(t)
+        if not tx.ids(ids).join(rows.select("id"), "id", "left_anti").isEmpty():
             raise QueryError("NOT_FOUND", f"{t.name} objects to update don't exist")
-        for u in inputs:
-            if u.get("_revision") is not None:
-                rows = tx.table(t)
-                now = rows.where(F.col("id") == str(u["id"])).select(revision(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))).head()
-                if now[0] != u["_revision"]:
-                    raise QueryError("REVISION_MISMATCH", f"{t.name} {u['id']} has changed meanwhile")
-            tx.update(t, F.col("id") == str(u["id"]), {k: v for k, v in u.items() if k not in ("id", "_revision")}, [str(u["id"])])
+        given = [(str(u["id"]), u["_revision"]) for u in inputs if u.get("_revision") is not None]
+        if given:
+            known = rows.select("id", revision(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("now"))
+            stale = tx.spark.createDataFrame(given, "id string, was string").join(known, "id").where("was <> now").head()
+            if stale is not None:
+                raise QueryError("REVISION_MISMATCH", f"{t.name} {stale.id} has changed meanwhile")
+        changes = {str(u["id"]): {k: v for k, v in u.items() if k not in ("id", "_revision")} for u in inputs}
+        plain = {i: x for i, x in changes.items() if len(inputs) > 1 and tx.simple(t, x)}
+        if plain:
+            tx.update_simple(t, plain)
+        for i, x in changes.items():
+            if i not in plain:
+                tx.update(t, F.col("id") == i, x, [i])
         return self.read(tx, t, ids, f, problems)
 
     def ids_of(self, tx: Transaction, t: Type, flt: dict[str, Any], args: dict[str, Any]) -> DataFrame:
@@ -449,17 +535,18 @@ class Mutator:
     def update_all(self, tx: Transaction, t: Type, f: Sel, problems: list[Problem]) -> list[Any]:
         hit = self.ids_of(tx, t, f.args.get("filter") or {}, f.args).withColumn("_hit", F.lit(True))
         before = tx.table(t)
-        tx.changed[t.collection] = before.join(hit, "id", "left").select(*before.columns, F.coalesce("_hit", F.lit(False)).alias("_hit"))
+        tx.put(t.collection, before.join(hit, "id", "left").select(*before.columns, F.coalesce("_hit", F.lit(False)).alias("_hit")))
         tx.update(t, F.col("_hit"), f.args["input"], None)
         marked = tx.changed[t.collection]
-        tx.changed[t.collection] = marked.drop("_hit")
+        tx.put(t.collection, marked.drop("_hit"))
         b = tx.binding()
         b.bind(t.name, marked.where("_hit").drop("_hit"))
-        return self.shape(tx, t, Compiler(b, tx.user), {}, f.children, problems)
+        return self.shape(tx, t, Compiler(b, tx.user), {}, f.children, problems, frame=self.frames)
 
     def delete(self, tx: Transaction, t: Type, flt: dict[str, Any], f: Sel, problems: list[Problem]) -> list[Any]:
         """The objects as they were; they are read before anything is staged."""
         gone = self.ids_of(tx, t, flt, f.args)
-        rows = self.shape(tx, t, Compiler(tx.binding(), tx.user), flt, f.children, problems, f.args)
+        whole = self.frames and f.name.startswith("deleteAll")
+        rows = self.shape(tx, t, Compiler(tx.binding(), tx.user), flt, f.children, problems, f.args, whole)
         tx.delete(t, gone)
         return rows

@@ -1,4 +1,8 @@
-"""Versioned tables in a folder: every commit writes new versions first and then one manifest."""
+"""Versioned tables in a folder: every commit writes new files first and then one manifest.
+
+The manifest names the folders that a table consists of. New rows alone are one more folder; other changes write the
+table anew, and so does a table that has come to MOST_FOLDERS.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,7 @@ from pyspark.sql import types as T
 from ..model import Model, Relation, Type
 from ..sources.binding import Binding, table_type
 
+MOST_FOLDERS = 64
 EDGE = T.StructType([T.StructField("_from", T.StringType()), T.StructField("_to", T.StringType())])
 
 
@@ -33,20 +38,21 @@ class Store:
         names = [s.getPath().getName() for s in self.fs.listStatus(folder)]
         return max([int(n[:-5]) for n in names if n.endswith(".json")], default=0)
 
-    def manifest(self) -> dict[str, str]:
+    def manifest(self) -> dict[str, list[str]]:
         n = self._number()
         if not n:
             return {}
         stream = self.fs.open(self.jpath(f"{self.path}/_manifests/{n:012d}.json"))
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
+            found = json.loads(bytes(stream.readAllBytes()).decode())
+            return {k: [v] if isinstance(v, str) else v for k, v in found.items()}
         finally:
             stream.close()
 
     def version(self) -> int:
         return self._number()
 
-    def _publish(self, manifest: dict[str, str]) -> None:
+    def _publish(self, manifest: dict[str, list[str]]) -> None:
         n = self._number() + 1
         temp = self.jpath(f"{self.path}/_manifests/_{uuid.uuid4().hex}")
         stream = self.fs.create(temp)
@@ -59,7 +65,7 @@ class Store:
 
     def read(self, name: str, schema: T.StructType) -> DataFrame:
         at = self.manifest().get(name)
-        return self.spark.createDataFrame([], schema) if at is None else self.spark.read.schema(schema).parquet(f"{self.path}/{at}")
+        return self.spark.createDataFrame([], schema) if at is None else self.spark.read.schema(schema).parquet(*[f"{self.path}/{x}" for x in at])
 
     def table(self, t: Type) -> DataFrame:
         return self.read(t.collection, table_type(self.model, t))
@@ -67,14 +73,19 @@ class Store:
     def edges(self, r: Relation) -> DataFrame:
         return self.read(f"_edges/{r.name}", EDGE)
 
-    def commit(self, changed: dict[str, DataFrame]) -> None:
-        """Writes all changed tables, then publishes them together; what isn't published is never read."""
+    def commit(self, changed: dict[str, DataFrame], added: dict[str, DataFrame] | None = None) -> None:
+        """Writes changed tables and added rows, then publishes them together; what isn't published is never read."""
         manifest, stamp = self.manifest(), uuid.uuid4().hex
         for name, df in changed.items():
-            at = f"{name}/{stamp}"
-            df.write.parquet(f"{self.path}/{at}")
-            manifest[name] = at
-        if changed:
+            df.write.parquet(f"{self.path}/{name}/{stamp}")
+            manifest[name] = [f"{name}/{stamp}"]
+        for name, df in (added or {}).items():
+            at = manifest.get(name, [])
+            if len(at) >= MOST_FOLDERS:
+                df, at = self.read(name, df.schema).unionByName(df), []
+            df.write.parquet(f"{self.path}/{name}/{stamp}")
+            manifest[name] = [*at, f"{name}/{stamp}"]
+        if changed or added:
             self._publish(manifest)
 
     def sync_schema(self) -> list[str]:

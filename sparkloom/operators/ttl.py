@@ -52,6 +52,6 @@ def cleanup(mutator: Mutator, limit: int | None = None) -> dict[str, int]:
         n = gone.count()
         if n:
             tx.delete(t, gone)
-            mutator.store.commit(tx.changed)
+            mutator.store.commit(tx.changed, tx.added)
         done[t.name] = n
     return done
