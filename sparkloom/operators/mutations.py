@@ -19,7 +19,7 @@ from ..model import Field, Relation, Type
 from ..plans import auth
 from ..plans.compiler import Compiler, Problem, QueryError, revision
 from ..sdl import Field as Sel
-from ..sources.binding import Binding, spark_type, stored_fields, to_row
+from ..sources.binding import Binding, spark_type, stored_fields, table_type, to_row
 from .store import EDGE, Store
 
 # Prefixes of calculated updates, and what they do.
@@ -147,8 +147,7 @@ class Transaction:
             rows = [to_row(self.model, t, d) for d in docs]
         except BadValue as e:
             raise QueryError("BAD_INPUT", str(e)) from e
-        schema = self.table(t).schema
-        self.add(t.collection, self.spark.createDataFrame(rows, schema))
+        self.add(t.collection, self.spark.createDataFrame(rows, table_type(self.model, t)))
         self.check_unique(t, [d["id"] for d in docs])
         self.link_all(t, links)
         return [d["id"] for d in docs]
@@ -328,7 +327,8 @@ class Transaction:
             raise QueryError("BAD_INPUT", "relations can't be set for all objects at once")
         if new:
             new["updatedAt"] = F.lit(self.now)
-            df = df.select(*[F.when(hit, new[f.name].cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name) if f.name in new else F.col(f.name) for f in df.schema.fields])
+            kinds = {f.name: f.dataType for f in table_type(self.model, t).fields}  # the table's own may not allow nulls
+            df = df.select(*[F.when(hit, new[c].cast(kinds[c])).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in df.columns])
             self.put(t.collection, df)
             if not g.always and not df.where(hit & ~g.column(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).isEmpty():
                 raise QueryError("PERMISSION_DENIED", f"Not authorized to set these values of {t.name} objects")

@@ -79,6 +79,24 @@ customers_where("filter_empty_or", "OR: []", "false")
 customers_where("filter_to1_reference", "nation: {name_lt: \"G\", region: {key_gt: 0}}", "EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey AND n_name < 'G' AND n_regionkey > 0)")
 orders_where("filter_to1", 'customer: {segment: "MACHINERY"}', "o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')")
 
+orders_where("filter_lte_str", 'priority_lte: "3-MEDIUM"', f"{TEXT} <= '3-MEDIUM'")
+orders_where("filter_gt_str", 'priority_gt: "3-MEDIUM"', f"{TEXT} > '3-MEDIUM'")
+orders_where("filter_boolean", "urgent: true", f"o_orderstatus <> 'P' AND starts_with({TEXT}, '1')")
+orders_where("filter_boolean_not", "urgent_not: true", f"o_orderstatus = 'P' OR NOT starts_with({TEXT}, '1')")
+orders_where("filter_enum", "state_in: [F, P]", "o_orderstatus IN ('F', 'P')")
+orders_where("filter_enum_not", "state_not: O", "o_orderstatus <> 'O'")
+orders_where("filter_local_date", 'day_gte: "1996-01-01", day_lt: "1997-01-01"', f"CAST({WHEN} AS DATE) >= DATE '1996-01-01' AND CAST({WHEN} AS DATE) < DATE '1997-01-01'")
+orders_where("filter_local_time", 'clock_lt: "12:30"', "o_orderkey % 24 < 12")
+orders_where("filter_offset_date_time", 'placed_lt: "1996-01-01T02:00:00+02:00"', f"{WHEN} < TIMESTAMP '1996-01-01'")
+orders_where("filter_id", 'id_in: ["1", "33", "007", "x"], id_not: "1"', "o_orderkey = 33")
+orders_where("filter_id_text", 'id_lt: "2"', "CAST(o_orderkey AS VARCHAR) < '2'")
+orders_where("filter_string_map", 'marks_some: {key: "priority", value_starts_with: "2"}, marks_none: {value: "F"}', f"starts_with({TEXT}, '2') AND o_orderstatus <> 'F'")
+ask("filter_i18n", '{ allParts(filter: {names_some: {language: "de", value_contains: "STEEL"}}) { key } }', ["key"], "SELECT p_partkey AS key FROM part WHERE contains(p_type, 'STEEL')")
+ask("filter_decimal", "{ allParts(filter: {amount_gt: 1500.25}) { key } }", ["key"], "SELECT p_partkey AS key FROM part WHERE CAST(p_retailprice AS DECIMAL(13, 2)) > 1500.25")
+ask("filter_extension", "{ allParts(filter: {spec: {size_gt: 25}}) { key spec { brand } } }", ["key", "spec.brand AS brand"], "SELECT p_partkey AS key, p_brand AS brand FROM part WHERE p_size > 25")
+customers_where("filter_to1_rows", "nation: {key_gt: 4, region: {key_gt: 0}}", "EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey AND n_nationkey > 4 AND n_regionkey > 0)")
+customers_where("filter_empty_and", "AND: [], balance_gt: 0", "c_acctbal > 0")
+
 # ---- quantifiers
 LINES = "FROM lineitem WHERE l_orderkey = o_orderkey"
 for _name, _flt, _sql in (
@@ -94,6 +112,7 @@ customers_where("quant_every_relation", "orders_every: {totalPrice_gt: 20000}",
 customers_where("quant_none_relation", 'orders_none: {status: "P"}', f"NOT EXISTS (SELECT 1 {ORD} AND o_orderstatus = 'P')")
 customers_where("quant_empty_relation", "orders_empty: false", f"EXISTS (SELECT 1 {ORD})")
 customers_where("quant_relation_under_or", "OR: [{orders_some: {totalPrice_gt: 190000}}, {key: 3}]", f"EXISTS (SELECT 1 {ORD} AND o_totalprice > 190000) OR c_custkey = 3")
+customers_where("quant_empty_relation_rows", "orders_empty: true", f"NOT EXISTS (SELECT 1 {ORD})")
 ask("quant_scalar_list", "{ allVectors(filter: {values_some: {gt: 0.4}, values_none: {lt: -0.45}}) { id } }", ["id"], "SELECT CAST(vec_id AS VARCHAR) AS id FROM embeddings WHERE len(list_filter(embedding, lambda x: CAST(x AS DOUBLE) > 0.4)) > 0 AND len(list_filter(embedding, lambda x: CAST(x AS DOUBLE) < -0.45)) = 0")
 
 # ---- order and pages
@@ -105,6 +124,8 @@ ask("keyset_after", '{ allCustomers(orderBy: [segment_ASC, key_DESC], first: 12,
 ask("cursor", "{ allCustomers(orderBy: key_ASC, first: 5) { key _cursor } }", ["key", "_cursor AS cursor"], """SELECT c_custkey AS key, '{"id":"' || c_custkey || '","key":' || c_custkey || '}' AS cursor FROM customer ORDER BY c_custkey LIMIT 5""")
 ask("count_meta", '{ _allOrdersMeta(filter: {status: "F"}) { count } }', ["count"], "SELECT CAST(count(*) AS INT) AS count FROM orders WHERE o_orderstatus = 'F'")
 ask("count_first", "{ _allOrdersMeta(first: 17) { count } }", ["count"], "SELECT CAST(17 AS INT) AS count")
+ask("order_property", "{ allOrders(orderBy: [placed_DESC, key_ASC], first: 40) { key } }", ["key"], "SELECT o_orderkey AS key FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 40")
+ask("count_all", "{ _allCustomersMeta { count } }", ["count"], "SELECT CAST(count(*) AS INT) AS count FROM customer")
 
 # ---- nesting
 ask("nested_topk", "{ allCustomers { key orders(orderBy: [totalPrice_DESC, key_ASC], first: 2) { key } } }", ["key", "array_join(transform(orders, x -> cast(x.key as string)), ',') AS top"], "SELECT c_custkey AS key, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY r), '') AS top FROM customer LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) r FROM orders) o ON o_custkey = c_custkey AND r <= 2 GROUP BY 1")
@@ -117,6 +138,8 @@ ask("relation_inverse", "{ allLabels { id quality document { lang } } }", ["id",
 ask("reference_dangling", "{ allCustomers { key oddNationKey oddNation { name } } }", ["key", "oddNationKey AS odd", "oddNation.name AS name"], "SELECT c_custkey AS key, CASE WHEN c_nationkey % 2 = 1 THEN c_nationkey ELSE c_nationkey + 100 END AS odd, CASE WHEN c_nationkey % 2 = 1 THEN n_name END AS name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
 ask("reference_in_list_all", "{ allBaskets { key items { part { brand } } } }", ["key", "array_join(array_sort(array_distinct(transform(items, x -> x.part.brand))), ',') AS brands"], "SELECT o_orderkey AS key, coalesce(string_agg(DISTINCT p_brand, ',' ORDER BY p_brand), '') AS brands FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1")
 ask("root_parent_all", "{ allBaskets { key items { basket { status key } } } }", ["key", "get(array_distinct(transform(items, x -> concat(x.basket.status, x.basket.key))), 0) AS up"], "SELECT o_orderkey AS key, min(CASE WHEN l_orderkey IS NOT NULL THEN o_orderstatus || o_orderkey END) AS up FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+ask("parent_all", "{ allBaskets { key items { up { status } } } }", ["key", "array_join(array_distinct(transform(items, x -> x.up.status)), ',') AS up"], "SELECT o_orderkey AS key, coalesce(min(CASE WHEN l_orderkey IS NOT NULL THEN o_orderstatus END), '') AS up FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+ask("relation_to_n_desc", "{ allCustomers { key orders(orderBy: [status_DESC, key_ASC]) { key } } }", ["key", "array_join(transform(orders, x -> cast(x.key as string)), ',') AS orders"], "SELECT c_custkey AS key, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderstatus DESC, o_orderkey), '') AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 ask("aliases_fragments", "query { allNations { ...n r: region { t: name } } } fragment n on Nation { k: key name }", ["k", "name", "r.t AS region"], "SELECT n_nationkey AS k, n_name AS name, r_name AS region FROM nation LEFT JOIN region ON r_regionkey = n_regionkey")
 
 # ---- collect: embedded lists
@@ -164,6 +187,14 @@ JOINED = {
     "every_null": ("everySmallNull", f"count({SMALL}) = 0"),
     "count_true": ("cheapTrue", f"count(*) FILTER ({CHEAP})"),
     "every_true": ("everyCheap", f"coalesce(bool_and({CHEAP}), true)"),
+    "some": ("anyLine", "count(l_orderkey) > 0"),
+    "none": ("noLine", "count(l_orderkey) = 0"),
+    "some_not_null": ("someSmall", f"count({SMALL}) > 0"),
+    "none_null": ("noneSmallNull", f"coalesce(bool_and({SMALL} IS NOT NULL) FILTER ({HERE}), true)"),
+    "count_not_true": ("dearTrue", f"count(*) FILTER ({HERE} AND NOT {CHEAP})"),
+    "some_true": ("someCheap", f"coalesce(bool_or({CHEAP}), false)"),
+    "some_not_true": ("someDear", f"coalesce(bool_or(NOT {CHEAP}), false)"),
+    "none_true": ("noneCheap", f"NOT coalesce(bool_or({CHEAP}), false)"),
 }
 for _name, (_flat, _sql) in JOINED.items():
     _field = _flat.removeprefix("round(").removeprefix("array_join(").split(",")[0]
@@ -173,6 +204,9 @@ CHILD = "(SELECT c_custkey AS k, c_custkey // 3 AS up FROM customer WHERE c_cust
 ask("collect_depth_1_2", "{ allCustomers { key deepReferrals(orderBy: key_ASC) { key } } }", ["key", "array_join(transform(deepReferrals, x -> cast(x.key as string)), ',') AS deep"], f"SELECT c_custkey AS key, coalesce(string_agg(CAST(k AS VARCHAR), ',' ORDER BY k), '') AS deep FROM customer LEFT JOIN (SELECT up, k FROM {CHILD} UNION ALL SELECT a.up, b.k FROM {CHILD} a JOIN {CHILD} b ON b.up = a.k) ON up = c_custkey GROUP BY 1")
 ask("collect_depth_0_2", "{ allCustomers { key family } }", ["key", "family AS n"], f"SELECT c_custkey AS key, 1 + count(k) AS n FROM customer LEFT JOIN (SELECT up, k FROM {CHILD} UNION ALL SELECT a.up, b.k FROM {CHILD} a JOIN {CHILD} b ON b.up = a.k) ON up = c_custkey GROUP BY 1")
 ask("collect_depth_2_2", "{ allCustomers { key grandReferrals } }", ["key", "grandReferrals AS n"], f"SELECT c_custkey AS key, count(k) AS n FROM customer LEFT JOIN (SELECT a.up, b.k FROM {CHILD} a JOIN {CHILD} b ON b.up = a.k) ON up = c_custkey GROUP BY 1")
+ask("collect_nullable_hop", "{ allCustomers { key poorOrders } }", ["key", "poorOrders AS n"], "SELECT c_custkey AS key, count(o_orderkey) FILTER (c_acctbal < 0) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+SEEN = "(SELECT c_custkey AS k, c_custkey // 3 AS up FROM customer WHERE c_custkey > 0 AND c_mktsegment = 'BUILDING')"
+ask("collect_hidden_vertices", "{ allCustomers { key grandReferrals deepReferrals { key } } }", ["key", "grandReferrals AS n", "size(deepReferrals) AS deep"], f"SELECT c_custkey AS key, count(b.k) AS n, CAST(count(DISTINCT a.k) + count(b.k) AS INT) AS deep FROM customer LEFT JOIN {SEEN} a ON a.up = c_custkey LEFT JOIN {SEEN} b ON b.up = a.k WHERE c_mktsegment = 'BUILDING' GROUP BY 1", User(("segment-BUILDING",)))
 
 # ---- search
 TOKENS = r"list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
@@ -190,6 +224,15 @@ searched("search_phrase", 'flexSearchFilter: {text_contains_phrase: "to the"}',
 searched("search_not_any_word", 'flexSearchFilter: {text_not_contains_any_word: "the and"}', f"NOT list_has_any({TOKENS}, ['the', 'and'])")
 searched("search_values", 'flexSearchFilter: {source: "SRC3", chars_gt: 1000}', "lower(source) = 'src3' AND n_chars > 1000")
 searched("search_expression", 'flexSearchExpression: "fr"', f"starts_with(lang, 'fr') OR len(list_filter({TOKENS}, lambda x: starts_with(x, 'fr'))) > 0")
+searched("search_not_all_words", 'flexSearchFilter: {text_not_contains_all_words: "the and"}', f"NOT list_has_all({TOKENS}, ['the', 'and'])")
+searched("search_not_any_prefix", 'flexSearchFilter: {text_not_contains_any_prefix: "th zz"}', f"len(list_filter({TOKENS}, lambda x: starts_with(x, 'th') OR starts_with(x, 'zz'))) = 0")
+searched("search_both_prefixes", 'flexSearchFilter: {text_contains_all_prefixes: "th an"}', f"len(list_filter({TOKENS}, lambda x: starts_with(x, 'th'))) > 0 AND len(list_filter({TOKENS}, lambda x: starts_with(x, 'an'))) > 0")
+searched("search_not_all_prefixes", 'flexSearchFilter: {text_not_contains_all_prefixes: "th an"}', f"NOT (len(list_filter({TOKENS}, lambda x: starts_with(x, 'th'))) > 0 AND len(list_filter({TOKENS}, lambda x: starts_with(x, 'an'))) > 0)")
+searched("search_not_phrase", 'flexSearchFilter: {text_not_contains_phrase: "to the"}', f"NOT contains(' ' || array_to_string({TOKENS}, ' ') || ' ', ' to the ')")
+searched("search_id", 'flexSearchFilter: {id_in: ["5", "77", "x"]}', "doc_id IN (5, 77)")
+searched("search_string_range", 'flexSearchFilter: {lang_gte: "en", lang_lt: "fr"}', "lang >= 'en' AND lang < 'fr'")
+searched("search_exists", "flexSearchFilter: {lang_exists: true, chars_lt: 500}", "lang IS NOT NULL AND n_chars < 500")
+searched("search_post_filter", 'flexSearchFilter: {lang: "en"}, postFilter: {id_in: ["1", "2", "3", "4", "5", "6"]}', "lang = 'en' AND doc_id BETWEEN 1 AND 6")
 
 # ---- access
 ask("auth_group", "{ allEvents { id accessGroup } }", ["id", "accessGroup AS grp"], "SELECT CAST(event_id AS VARCHAR) AS id, event_type AS grp FROM events WHERE event_type IN ('click', 'view')", User(("group-click", "group-view")))
@@ -283,6 +326,92 @@ staged("delete_cascade", _delete(lambda tx: tx.table(tx.model.types["Order"]).se
 staged("delete_edges", _delete(lambda tx: tx.edges(tx.model.relation(tx.model.types["Customer"], tx.model.types["Customer"].fields["referrals"])[0]).selectExpr("_from AS frm", "_to AS dest")), "SELECT CAST(c.c_custkey // 3 AS VARCHAR) AS frm, CAST(c.c_custkey AS VARCHAR) AS dest FROM customer c JOIN customer p ON p.c_custkey = c.c_custkey // 3 WHERE c.c_custkey > 0 AND c.c_mktsegment <> 'BUILDING' AND p.c_mktsegment <> 'BUILDING'")
 
 
+def changed(name: str, change: Callable, sql: str) -> None:
+    """Like ``staged``, with an id of its own for each new object."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        import datetime as dt
+        import itertools
+
+        from .operators.mutations import Transaction
+
+        ids = itertools.count(1)
+        tx = Transaction(engine(spark, sf_dir).binding, None, lambda: dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc), lambda: f"new{next(ids)}")
+        return change(tx, tx.model.types)
+
+    QUERIES[name], ORACLES[name] = run, sql
+
+
+def _create(tx, types) -> DataFrame:
+    tx.create(types["Region"], [{"key": 100, "name": "NEW"}, {"key": 101}])
+    return tx.table(types["Region"]).select("id", "key", "name")
+
+
+def _create_linked(tx, types) -> DataFrame:
+    tx.create(types["Customer"], [{"key": 10_000_001, "createOrders": [{"key": 10_000_002, "status": "N"}, {"key": 10_000_003}], "referrals": ["4", "5"]}])
+    t = types["Customer"]
+    both = [tx.edges(tx.model.relation(t, t.fields[n])[0]).selectExpr(f"'{n}' AS field", "_from AS frm", "_to AS dest") for n in ("orders", "referrals")]
+    return both[0].unionAll(both[1])
+
+
+def _update_bulk(tx, types) -> DataFrame:
+    tx.update_simple(types["Nation"], {"3": {"name": "THREE"}, "5": {"regionKey": 4}, "7": {"name": None, "regionKey": 0}})
+    return tx.table(types["Nation"]).selectExpr("key", "name", "regionKey AS region", "updatedAt IS NOT NULL AS changed")
+
+
+def _update_all(tx, types) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    tx.update(types["Part"], F.col("size") > 25, {"brand": "BIG", "spec": {"size": 0}}, None)
+    return tx.table(types["Part"]).selectExpr("key", "brand", "spec.brand AS old", "spec.size AS size")
+
+
+def _calc_others(tx, types) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    tx.update(types["Part"], F.col("size") > 10, {"moduloOf_size": 7, "divideBy_price": 4, "appendTo_name": "!"}, None)
+    tx.update(types["Part"], F.col("key") > 20, {"subtractFrom_size": 1, "subtractFrom_price": 0.5, "prependTo_name": "?"}, None)
+    return tx.table(types["Part"]).selectExpr("key", "name", "size", "round(price, 6) AS price")
+
+
+def _children(tx, types) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    tx.update(types["Basket"], F.col("status") == "F", {"addItems": [{"number": 99, "quantity": 1.5}, {"number": 100}]}, None)
+    return tx.table(types["Basket"]).selectExpr("key", "coalesce(size(items), 0) AS n", "coalesce(aggregate(items, 0D, (a, x) -> a + coalesce(x.quantity, 0D)), 0D) AS total")
+
+
+def _edges(change: Callable) -> Callable:
+    def run(tx, types) -> DataFrame:
+        t = types["Customer"]
+        f = t.fields["referrals"]
+        change(lambda how, wants: tx.link(t, f, how, wants))
+        return tx.edges(tx.model.relation(t, f)[0]).selectExpr("_from AS frm", "_to AS dest")
+
+    return run
+
+
+def _expire(tx, types) -> DataFrame:
+    from .operators.ttl import expired
+
+    rule = tx.model.time_to_live[0]
+    tx.delete(types["Event"], tx.table(types["Event"]).where(expired(tx.model, rule, tx.now)).select("id"))
+    return tx.table(types["Event"]).select("id", "userId")
+
+
+REFERRALS = "SELECT CAST(c_custkey // 3 AS VARCHAR) AS frm, CAST(c_custkey AS VARCHAR) AS dest FROM customer WHERE c_custkey > 0"
+changed("create_rows", _create, "SELECT CAST(r_regionkey AS VARCHAR) AS id, r_regionkey AS key, r_name AS name FROM region UNION ALL VALUES ('new1', 100, 'NEW'), ('new2', 101, NULL)")
+changed("create_linked", _create_linked, f"SELECT 'orders' AS field, CAST(o_custkey AS VARCHAR) AS frm, CAST(o_orderkey AS VARCHAR) AS dest FROM orders UNION ALL SELECT 'referrals', * FROM ({REFERRALS}) WHERE dest NOT IN ('4', '5') UNION ALL VALUES ('orders', 'new1', 'new2'), ('orders', 'new1', 'new3'), ('referrals', 'new1', '4'), ('referrals', 'new1', '5')")
+changed("update_rows", _update_bulk, "SELECT n_nationkey AS key, CASE n_nationkey WHEN 3 THEN 'THREE' WHEN 7 THEN NULL ELSE n_name END AS name, CASE n_nationkey WHEN 5 THEN 4 WHEN 7 THEN 0 ELSE n_regionkey END AS region, n_nationkey IN (3, 5, 7) AS changed FROM nation")
+changed("update_all_rows", _update_all, "SELECT p_partkey AS key, CASE WHEN p_size > 25 THEN 'BIG' ELSE p_brand END AS brand, p_brand AS old, CASE WHEN p_size > 25 THEN 0 ELSE p_size END AS size FROM part")
+changed("calc_others", _calc_others, "SELECT p_partkey AS key, CASE WHEN p_partkey > 20 THEN '?' ELSE '' END || p_name || CASE WHEN p_size > 10 THEN '!' ELSE '' END AS name, CASE WHEN p_size > 10 THEN p_size % 7 ELSE p_size END - CASE WHEN p_partkey > 20 THEN 1 ELSE 0 END AS size, round(CASE WHEN p_size > 10 THEN p_retailprice / 4 ELSE p_retailprice END - CASE WHEN p_partkey > 20 THEN 0.5 ELSE 0 END, 6) AS price FROM part")
+changed("children_added", _children, "SELECT o_orderkey AS key, CAST(count(l_orderkey) + CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 0 END AS INT) AS n, coalesce(sum(l_quantity), 0) + CASE WHEN o_orderstatus = 'F' THEN 1.5 ELSE 0 END AS total FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus")
+changed("edges_added", _edges(lambda link: link("add", [("1", ["20", "3"]), ("2", ["20"])])), f"SELECT * FROM ({REFERRALS}) WHERE dest <> '20' UNION ALL VALUES ('2', '20')")
+changed("edges_removed", _edges(lambda link: link("remove", [("1", ["3", "20"]), ("2", ["6", "7"])])), f"SELECT * FROM ({REFERRALS}) WHERE NOT (frm = '1' AND dest = '3') AND NOT (frm = '2' AND dest IN ('6', '7'))")
+changed("edges_set", _edges(lambda link: link("set", [("1", ["30"]), ("2", [])])), f"SELECT * FROM ({REFERRALS}) WHERE frm NOT IN ('1', '2') AND dest <> '30' UNION ALL VALUES ('1', '30')")
+changed("ttl_cleanup", _expire, "SELECT CAST(event_id AS VARCHAR) AS id, user_id AS userId FROM events WHERE NOT ts < TIMESTAMP '2023-12-22'")
+
+
 def _ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     import datetime as dt
 

@@ -10,6 +10,7 @@ from .model import Model
 from .sources.binding import Binding, derived_edges
 
 SCHEMA = """
+enum OrderState { F O P }
 type Region @rootEntity { key: Int @key  name: String }
 type Nation @rootEntity { key: Int @key  name: String  regionKey: Int  region: Region @reference(keyField: "regionKey") }
 type Customer @rootEntity(permissionProfile: "segments") {
@@ -37,12 +38,27 @@ type Customer @rootEntity(permissionProfile: "segments") {
     everySmallNull: Boolean @collect(path: "baskets.items.small", aggregate: EVERY_NULL)
     cheapTrue: Int @collect(path: "baskets.items.cheap", aggregate: COUNT_TRUE)
     everyCheap: Boolean @collect(path: "baskets.items.cheap", aggregate: EVERY_TRUE)
+    anyLine: Boolean @collect(path: "baskets.items", aggregate: SOME)
+    noLine: Boolean @collect(path: "baskets.items", aggregate: NONE)
+    someSmall: Boolean @collect(path: "baskets.items.small", aggregate: SOME_NOT_NULL)
+    noneSmallNull: Boolean @collect(path: "baskets.items.small", aggregate: NONE_NULL)
+    dearTrue: Int @collect(path: "baskets.items.cheap", aggregate: COUNT_NOT_TRUE)
+    someCheap: Boolean @collect(path: "baskets.items.cheap", aggregate: SOME_TRUE)
+    someDear: Boolean @collect(path: "baskets.items.cheap", aggregate: SOME_NOT_TRUE)
+    noneCheap: Boolean @collect(path: "baskets.items.cheap", aggregate: NONE_TRUE)
+    poorOrders: Int @collect(path: "orders.customer.richBalance", aggregate: COUNT_NULL)
     allLines: [Line] @collect(path: "baskets.items")
 }
 type Supplier @rootEntity { key: Int53 @key  name: String  balance: Float  nationKey: Int  nation: Nation @reference(keyField: "nationKey") }
-type Part @rootEntity { key: Int53 @key  name: String  brand: String  kind: String  size: Int  price: Float }
+type Part @rootEntity {
+    key: Int53 @key  name: String @calcMutations(operators: [APPEND, PREPEND])  brand: String  kind: String
+    size: Int @calcMutations(operators: [SUBTRACT, MODULO])  price: Float @calcMutations(operators: [SUBTRACT, DIVIDE])
+    names: I18nString  spec: PartSpec  amount: Decimal2
+}
+type PartSpec @entityExtension { brand: String  size: Int }
 type Order @rootEntity {
     key: Int53 @key  status: String  totalPrice: Float  date: DateTime  priority: String  urgentDate: DateTime
+    day: LocalDate  clock: LocalTime  placed: OffsetDateTime  urgent: Boolean  state: OrderState  marks: StringMap
     customer: Customer @relation(inverseOf: "orders")
     suppliers: [Supplier] @relation
 }
@@ -75,7 +91,7 @@ type Basket @rootEntity {
 type Line @childEntity {
     number: Int  quantity: Float  returnFlag: String  lineStatus: String  small: Float  cheap: Boolean  partKey: Int53
     part: Part @reference(keyField: "partKey")
-    basket: Basket @root
+    basket: Basket @root  up: Basket @parent
 }
 type Document @rootEntity(flexSearch: true) {
     text: String @flexSearchFulltext(includeInSearch: true)  lang: String @flexSearch(includeInSearch: true)
@@ -134,7 +150,7 @@ def engine(spark: SparkSession, sf_dir: str, options: Options | None = None) ->
 
     def orders() -> DataFrame:
         c = F.col
-        return keyed(read("orders"), "o_orderkey").select("id", c("o_orderkey").alias("key"), c("o_orderstatus").alias("status"), c("o_totalprice").alias("totalPrice"), c("o_orderdate").cast("timestamp").alias("date"), c("o_orderpriority").alias("priority"), F.when(c("o_orderpriority").startswith("1"), c("o_orderdate").cast("timestamp")).alias("urgentDate"))
+        return keyed(read("orders"), "o_orderkey").select("id", c("o_orderkey").alias("key"), c("o_orderstatus").alias("status"), c("o_totalprice").alias("totalPrice"), c("o_orderdate").cast("timestamp").alias("date"), c("o_orderpriority").alias("priority"), F.when(c("o_orderpriority").startswith("1"), c("o_orderdate").cast("timestamp")).alias("urgentDate"), c("o_orderdate").cast("date").alias("day"), F.concat(F.lpad((c("o_orderkey") % 24).cast("string"), 2, "0"), F.lit(":30:00")).alias("clock"), F.struct(c("o_orderdate").cast("timestamp").alias("timestamp"), F.lit("+02:00").alias("offset")).alias("placed"), F.when(c("o_orderstatus") != "P", c("o_orderpriority").startswith("1")).alias("urgent"), c("o_orderstatus").alias("state"), F.create_map(F.lit("status"), c("o_orderstatus"), F.lit("priority"), c("o_orderpriority")).alias("marks"))
 
     def conversations() -> DataFrame:
         null = F.lit(None)
@@ -148,7 +164,7 @@ def engine(spark: SparkSession, sf_dir: str, options: Options | None = None) ->
     b.bind("Nation", lambda: keyed(read("nation"), "n_nationkey").select("id", c("n_nationkey").alias("key"), c("n_name").alias("name"), c("n_regionkey").alias("regionKey")))
     b.bind("Customer", customers).bind("Order", orders).bind("Basket", baskets).bind("Conversation", conversations)
     b.bind("Supplier", lambda: keyed(read("supplier"), "s_suppkey").select("id", c("s_suppkey").alias("key"), c("s_name").alias("name"), c("s_acctbal").alias("balance"), c("s_nationkey").alias("nationKey")))
-    b.bind("Part", lambda: keyed(read("part"), "p_partkey").select("id", c("p_partkey").alias("key"), c("p_name").alias("name"), c("p_brand").alias("brand"), c("p_type").alias("kind"), c("p_size").alias("size"), c("p_retailprice").alias("price")))
+    b.bind("Part", lambda: keyed(read("part"), "p_partkey").select("id", c("p_partkey").alias("key"), c("p_name").alias("name"), c("p_brand").alias("brand"), c("p_type").alias("kind"), c("p_size").alias("size"), c("p_retailprice").alias("price"), F.create_map(F.lit("en"), c("p_name"), F.lit("de"), c("p_type")).alias("names"), F.struct(c("p_brand").alias("brand"), c("p_size").alias("size")).alias("spec"), c("p_retailprice").cast("decimal(13,2)").alias("amount")))
     b.bind("Document", lambda: keyed(read("documents"), "doc_id").select("id", "text", "lang", "source", c("n_chars").alias("chars")))
     b.bind("Label", lambda: keyed(read("labels"), "doc_id").select("id", "quality", "toxic"))
     b.bind("Event", lambda: keyed(read("events"), "event_id").select("id", c("ts").cast("timestamp").alias("at"), c("user_id").alias("userId"), c("event_type").alias("accessGroup"), "value", "props"))
