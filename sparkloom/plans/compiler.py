@@ -22,6 +22,7 @@ from ..sources.binding import Binding
 from . import auth
 
 _count = itertools.count()
+DOWN = "_down"  # field of a text by which rows go down
 
 
 def fresh(stem: str) -> str:
@@ -98,6 +99,28 @@ class Order:
     def sort(self) -> Column:
         return self.column.desc_nulls_last() if self.down else self.column.asc_nulls_first()
 
+    def ascending(self) -> list[Column]:
+        """Columns that give the same order when they go up, null first; texts that go down are marked by DOWN."""
+        if not self.down:
+            return [self.column]
+        c = self.column
+        if self.kind in ("Int", "Int53") or self.kind.startswith("Decimal"):
+            return [c.isNull(), -c]
+        if self.kind == "Float":
+            return [c.isNull(), ~F.isnan(c), -c]
+        if self.kind == "DateTime":
+            return [c.isNull(), -F.unix_micros(c)]
+        return [c.isNull(), F.struct(c.alias(DOWN))]
+
+
+def precedence(pairs: list[tuple[Column, Column, bool]]) -> Column:
+    """-1, 0 or 1 for the first pair that differs, null first; a pair marked by ``down`` counts the other way round."""
+    out = F.lit(0)
+    for x, y, down in reversed(pairs):
+        less, more = (1, -1) if down else (-1, 1)
+        out = F.when(greater(y, x), less).when(greater(x, y), more).otherwise(out)
+    return out
+
 
 class Compiler:
     def __init__(self, binding: Binding, user: auth.User | None = None, max_depth_order: int | None = None, tokenizer: search.Tokenizer = search.DEFAULT):
@@ -532,14 +555,7 @@ class Compiler:
             items = F.filter(items, lambda x: self.after(full(x), args["after"]))
         if args.get("orderBy") or wants or args.get("after"):
 
-            def compare(a: Column, b: Column) -> Column:
-                out = F.lit(0)
-                for x, y in reversed([*zip(full(a), full(b), strict=True)]):
-                    less, more = (1, -1) if x.down else (-1, 1)
-                    out = F.when(semantics.greater(y.column, x.column), less).when(semantics.greater(x.column, y.column), more).otherwise(out)
-                return out
-
-            items = F.array_sort(items, compare)
+            items = F.array_sort(items, lambda a, b: precedence([(x.column, y.column, x.down) for x, y in zip(full(a), full(b), strict=True)]))
         skip, first = args.get("skip") or 0, args.get("first")
         if first is not None:
             items = F.slice(items, skip + 1, first)
@@ -643,14 +659,25 @@ class Compiler:
         wants = any(c.name == "_cursor" for c in sel.children)
         orders = self.page(child, sel.args, wants, keys)
         item = self.project(child, sel.children, orders, path)
+        one, out = fresh("x"), fresh("l")
         if "rank" in child.frame.meta:
-            rank = F.col(child.frame.meta["rank"])
+            lead, names = [F.col(child.frame.meta["rank"]).alias("r")], ["r"]
         else:
-            w = Window.partitionBy(*keys).orderBy(*[o.sort() for o in orders], *[F.col(c) for c in child.frame.meta.get("order", [])])
-            rank = F.row_number().over(w)
-        one, out = fresh("x"), fresh("l")
-        rows = child.frame.df.select(*[F.col(k) for k in keys], F.struct(rank.alias("r"), item.alias("item")).alias(one))
-        got = rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(one), lambda a, b: a.getField("r") - b.getField("r")), lambda x: x.getField("item")).alias(out))
+            # no window: the rows of a parent are sorted once, as an array, by what leads its items
+            order = [Order(c, F.col(c), "", False) for c in child.frame.meta.get("order", [])]
+            lead = [c for o in [*orders, *order] for c in o.ascending()]
+            lead, names = [c.alias(f"o{i}") for i, c in enumerate(lead)], [f"o{i}" for i in range(len(lead))]
+        rows = child.frame.df.select(*[F.col(k) for k in keys], F.struct(*lead, item.alias("item")).alias(one))
+        items, kind = F.collect_list(one), rows.schema[one].dataType.simpleString()
+        if "map<" in kind or DOWN in kind:  # these can't be compared as wholes, or the wrong way round
+            def pick(x: Column, n: str) -> Column:
+                return x.getField(n).getField(DOWN) if n in texts else x.getField(n)
+
+            texts = {f.name for f in rows.schema[one].dataType.fields if DOWN in f.dataType.simpleString()[:40] and f.name != "item"}
+            items = F.array_sort(items, lambda a, b: precedence([(pick(a, n), pick(b, n), n in texts) for n in names]))
+        else:
+            items = F.sort_array(items)
+        got = rows.groupBy(*keys).agg(F.transform(items, lambda x: x.getField("item")).alias(out))
         s.frame.df = s.frame.df.join(got, keys, "left")
         return safe_list(F.col(out))
 
