@@ -1,11 +1,15 @@
-"""Removal of passages that stand elsewhere too, over all suffixes of all texts, bucket by bucket.
-
-Every ``length``-byte window is the head of a suffix. A window belongs to the bucket of its anchor: the 64-byte gram of
-smallest hash in it, so equal windows meet in one bucket wherever they stand. Within a bucket suffixes are told apart
-in two steps: first by the names of sample positions (every STEP-th offset from the anchor, a name stands for all bytes
-that the windows of one step have in common), then, for windows whose sample names tie while their surroundings differ,
-by the name of the whole window. Two windows count as equal when both 64-bit names are. Names are counted by aggregation,
-so that no bucket has to stand in one task; the order of the suffixes isn't needed, only which of them are equal.
+"""Removal of passages that stand elsewhere too, by sorting suffixes bucket by bucket.
+
+Every ``length``-byte window is the head of a suffix. A suffix belongs to the bucket of its window's anchor: the 64-byte
+gram of smallest hash in it, so equal windows meet in one bucket wherever they stand. A bucket is made of segments, the
+bytes of windows that follow each other under one anchor; equal segments are counted first and stand there once. Then a
+task sorts one block of buckets after the other with a difference cover (see ``suffix_sort``), and windows are compared
+byte by byte. Only texts with a gram that occurs twice are looked at, and only buckets with two segments are sorted.
+
+A bucket of more segments than a task may hold is split: its windows are told apart by the names of what the windows of
+STEP neighbouring starts have in common, then by names of whole windows. These names, two 64-bit hashes for each
+decision, are counted by aggregation, so no such bucket has to stand in one task. Equal segments and equal texts are
+known by two hashes and by SHA-256.
 """
 
 from __future__ import annotations
@@ -18,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import suffix_sort
 from .common import U64, Scratch, gram_hash, lists, mix, prefix, row_key, run_hash, ship, signed, slices, span_hash, unsigned, utf8, word_spans
 
 GRAM = 64
 STEP = 16
+BLOCK_BYTES = 512 << 10  # of segments that are sorted at once
 POSITION = U64((1 << 24) - 1)
 
 
@@ -124,6 +130,92 @@ def column(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return col.values.to_numpy(zero_copy_only=False)[offs[0] : offs[-1]], np.diff(offs)
 
 
+def segments(texts: DataFrame, length: int) -> DataFrame:
+    """doc_id, gram, h1, h2, start, n: the n windows from ``start`` on that share an anchor, its gram one of ``grams``.
+
+    ``texts``: doc_id, text, grams. The two hashes stand for the bytes of all these windows and the anchor's place there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offs = utf8(b.column(1))
+            given, counts = column(b.column(2))
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            for i, j, d, o in slices(data, offs):
+                heads = prefix(d)
+                grams = gram_hash(heads, len(d), GRAM)
+                start, at = anchors(grams, o, length)
+                new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)])) if len(at) else at
+                a, lo, n = at[new], start[new], np.diff(np.append(new, len(at)))
+                doc = np.searchsorted(o, lo, side="right") - 1
+                known = unsigned(given[ends[i] : ends[j]]) ^ mix(np.repeat(np.arange(j - i), counts[i:j]).astype(U64))
+                pick = np.isin(grams[a] ^ mix(doc.astype(U64)), known)
+                a, lo, n, doc = a[pick], lo[pick], n[pick], doc[pick]
+                place = mix((a - lo).astype(U64))
+                h1 = run_hash(grams, GRAM, lo, n - 1 + length) ^ place
+                h2 = span_hash(heads, lo, lo + n - 1 + length) + place
+                cols = [b.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(signed(grams[a])), pa.array(signed(h1)), pa.array(signed(h2)), pa.array(lo - o[doc]), pa.array(n)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "gram", "h1", "h2", "start", "n"])
+
+    return texts.mapInArrow(run, "doc_id long, gram long, h1 long, h2 long, start long, n long")
+
+
+def pieces(texts: DataFrame, length: int) -> DataFrame:
+    """doc_id, gram, start, n and the bytes of segments. ``texts``: doc_id, text, parts (start, n, gram)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offs = utf8(b.column(1))
+            col = b.column(2)
+            counts = np.diff(col.offsets.to_numpy())
+            flat = col.flatten()
+            start, n, gram = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            row = np.repeat(np.arange(len(counts)), counts)
+            lo, size = offs[row] + start, n - 1 + length
+            for i in range(0, len(row), 4096):
+                part = slice(i, i + 4096)
+                raw = pa.array([data[x : x + m].tobytes() for x, m in zip(lo[part].tolist(), size[part].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[part])), pa.array(gram[part]), pa.array(start[part]), pa.array(n[part]), raw], ["doc_id", "gram", "start", "n", "piece"])
+
+    return texts.mapInArrow(run, "doc_id long, gram long, start long, n long, piece binary")
+
+
+def sorted_blocks(rows: DataFrame, length: int, parts: int) -> DataFrame:
+    """doc_id, start, end: spans of windows that stand in another segment of their bucket too. ``rows``: see ``pieces``."""
+
+    def find(ids: list, grams: list, starts: list, counts: list, raw: list) -> pa.RecordBatch:
+        size, n = np.array([len(x) for x in raw], np.int64), np.array(counts, np.int64)
+        at = np.cumsum(size) - size
+        row = np.repeat(np.arange(len(n)), n)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        _, bucket = np.unique(np.array(grams, np.int64), return_inverse=True)
+        hit = suffix_sort.repeated(np.frombuffer(b"".join(raw), np.uint8), at[row] + step, bucket[row], length)
+        row, step = row[hit], step[hit]
+        first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (step[1:] != step[:-1] + 1)])) if len(row) else row
+        last = np.append(first[1:], len(row)) - 1 if len(row) else row
+        base, ids_ = np.array(starts, np.int64), np.array(ids, np.int64)
+        cols = [ids_[row[first]], base[row[first]] + step[first], base[row[first]] + step[last] + length]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "end"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[] for _ in range(5)]
+        size, last = 0, None
+        for b in batches:
+            for one in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if one[1] != last and size >= BLOCK_BYTES:
+                    yield find(*held)
+                    held, size = [[] for _ in range(5)], 0
+                last = one[1]
+                size += len(one[4])
+                for x, v in zip(held, one, strict=True):
+                    x.append(v)
+        if size:
+            yield find(*held)
+
+    dealt = rows.repartition(parts, "gram").sortWithinPartitions("gram")
+    return dealt.select("doc_id", "gram", "start", "n", "piece").mapInArrow(run, "doc_id long, start long, end long")
+
+
 def cells(texts: DataFrame, length: int) -> DataFrame:
     """doc_id, start, n, core, around: steps of windows whose anchor's gram is in ``grams``. ``texts``: doc_id, text, grams.
 
@@ -226,7 +318,25 @@ def cut(texts: DataFrame, with_text: bool) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def remove_repeats(df: DataFrame, scratch: Scratch, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, words: int = 0) -> DataFrame:
+def split_buckets(texts: DataFrame, scratch: Scratch, length: int) -> DataFrame:
+    """doc_id, start, end: spans of windows that stand elsewhere in their bucket, by counting names. ``texts``: doc_id, text, grams."""
+    steps = scratch.save(cells(texts, length), "steps")
+    names = steps.groupBy("core", "around").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "start", "n")).alias("one"))
+    names = scratch.save(names, "names")
+    tied = names.groupBy("core").agg(F.sum("c").alias("all"), F.count("*").alias("kinds")).where("all > 1").select("core", "kinds")
+    tied = scratch.save(tied, "ties")
+    names = scratch.save(names.join(tied, "core"), "tied")
+    # steps with equal surroundings: all their windows stand elsewhere too
+    whole = steps.join(names.where("c > 1").select("core", "around"), ["core", "around"]).select("doc_id", "start", (F.col("start") + F.col("n") - 1 + length).alias("end"))
+    # steps that agree in their core only: window by window, one of each kind
+    open_ = names.where("kinds > 1").select("one.*", "core").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "core")).alias("steps"))
+    single = scratch.save(windows(texts.select("doc_id", "text").join(open_.hint("merge"), "doc_id"), length), "windows")
+    found = single.groupBy("core", "name").agg(F.count("*").alias("c")).where("c > 1").select("core", "name")
+    found = scratch.save(found, "found")
+    return whole.unionAll(single.join(found, ["core", "name"]).select("doc_id", "start", (F.col("start") + length).alias("end")))
+
+
+def remove_repeats(df: DataFrame, scratch: Scratch, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, words: int = 0, most_segments: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 (and kept, the bytes) for each row of ``df`` (rows of equal id are equal).
 
     Each byte is removed that a ``length``-byte string covers which also starts at another place of any text; the same
@@ -235,11 +345,13 @@ def remove_repeats(df: DataFrame, scratch: Scratch, length: int = 400, id_col: s
     more, are covered by each other throughout, as are repeated rows. A text's own repeats are found like those of others. Rows without an
     id are judged like others and get a null id. Null and empty texts lose nothing; an empty table gives an empty result;
     other columns of ``df``, whatever their names, aren't read. ``length`` must be 128 at least. With ``words``, strings
-    of so many words go too where they are shorter.
+    of so many words go too where they are shorter. A bucket of up to ``most_segments`` different segments is sorted in
+    one task, a larger one is split; the result is the same.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} at least")
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
     own_id, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     docs = df.select(row_key(own_id, text).alias("doc_id"), text.alias("text"), own_id.isNull().alias("unnamed"))
     base = scratch.save(anchored(docs, length), "anchors")
@@ -263,26 +375,27 @@ def remove_repeats(df: DataFrame, scratch: Scratch, length: int = 400, id_col: s
     # joins of texts are merge joins at every size: one plan to know
     texts = scratch.save(docs.join(grams.hint("merge"), "doc_id"), "texts")
     scratch.drop("grams")
-    steps = scratch.save(cells(texts, length), "steps")
-    names = steps.groupBy("core", "around").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "start", "n")).alias("one"))
-    names = scratch.save(names, "names")
-    tied = names.groupBy("core").agg(F.sum("c").alias("all"), F.count("*").alias("kinds")).where("all > 1").select("core", "kinds")
-    tied = scratch.save(tied, "ties")
-    names = scratch.save(names.join(tied, "core"), "tied")
-    # steps with equal surroundings: all their windows stand elsewhere too
-    whole = steps.join(names.where("c > 1").select("core", "around"), ["core", "around"]).select("doc_id", "start", (F.col("start") + F.col("n") - 1 + length).alias("end"))
-    # steps that agree in their core only: window by window, one of each kind
-    open_ = names.where("kinds > 1").select("one.*", "core").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "core")).alias("steps"))
-    single = scratch.save(windows(texts.select("doc_id", "text").join(open_.hint("merge"), "doc_id"), length), "windows")
-    found = single.groupBy("core", "name").agg(F.count("*").alias("c")).where("c > 1").select("core", "name")
-    found = scratch.save(found, "found")
-    some = single.join(found, ["core", "name"]).select("doc_id", "start", (F.col("start") + length).alias("end"))
+    segs = scratch.save(segments(texts, length), "segments")
+    kinds = segs.groupBy("gram", "h1", "h2").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "start", "n")).alias("one"))
+    kinds = scratch.save(kinds, "kinds")
+    # segments that stand twice: all their windows do
+    whole = segs.join(kinds.where("c > 1").select("gram", "h1", "h2"), ["gram", "h1", "h2"]).select("doc_id", "start", (F.col("start") + F.col("n") - 1 + length).alias("end"))
+    # buckets of several kinds: one segment of each
+    buckets = scratch.save(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"), "buckets")
+    open_ = scratch.save(kinds.join(buckets, "gram").select("one.*", "gram", "kinds"), "open")
+    small = open_.where(F.col("kinds") <= most_segments).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "gram")).alias("parts"))
+    rows = pieces(texts.select("doc_id", "text").join(small.hint("merge"), "doc_id").select("doc_id", "text", "parts"), length)
+    some = scratch.save(sorted_blocks(rows, length, int(spark.conf.get("spark.sql.shuffle.partitions"))), "sorted")
+    large = open_.where(F.col("kinds") > most_segments).groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))
+    large = scratch.save(large, "large")
+    if not large.isEmpty():
+        some = some.unionAll(split_buckets(texts.select("doc_id", "text").join(large.hint("merge"), "doc_id"), scratch, length))
     spans = whole.unionAll(some)
     if words:
         spans = spans.unionAll(runs.select("doc_id", "start", "end"))
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     done = scratch.save(cut(texts.select("doc_id", "text").join(spans.hint("merge"), "doc_id"), with_text).dropDuplicates(["doc_id"]), "cut")
-    scratch.drop("steps", "names", "tied", "ties", "windows", "found", "often", "copies", "texts")
+    scratch.drop("segments", "kinds", "buckets", "open", "sorted", "large", "steps", "names", "tied", "ties", "windows", "found", "often", "copies", "texts")
     out = base.select("doc_id", "unnamed", "n_bytes", "sha").join(done, "doc_id", "left").join(members, "doc_id", "left")
     gone = F.col("rep").isNotNull() & (F.col("n_bytes") >= length)
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
