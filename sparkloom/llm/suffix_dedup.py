@@ -7,7 +7,7 @@ task sorts one block of buckets after the other with a difference cover (see ``s
 byte by byte. Only texts with a gram that occurs twice are looked at, and only buckets with two segments are sorted.
 
 A bucket of more segments than a task may hold is split: its windows are told apart by the names of what the windows of
-STEP neighbouring starts have in common, then by names of whole windows. These names, two 64-bit hashes for each
+64 neighbouring starts have in common, then of 16, then by names of whole windows. These names, two 64-bit hashes for each
 decision, are counted by aggregation, so no such bucket has to stand in one task. Equal segments and equal texts are
 known by two hashes and by SHA-256.
 """
@@ -26,7 +26,7 @@ from . import suffix_sort
 from .common import U64, Scratch, gram_hash, lists, mix, prefix, row_key, run_hash, ship, signed, slices, span_hash, unsigned, utf8, word_spans
 
 GRAM = 64
-STEP = 16
+STEPS = (64, 16, 1)  # starts of windows that are told apart at once in large buckets
 BLOCK_BYTES = 512 << 10  # of segments that are sorted at once
 POSITION = U64((1 << 24) - 1)
 
@@ -131,7 +131,7 @@ def column(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def segments(texts: DataFrame, length: int) -> DataFrame:
-    """doc_id, gram, h1, h2, start, n: the n windows from ``start`` on that share an anchor, its gram one of ``grams``.
+    """doc_id, gram, h1, h2, start, n, top: the n windows from ``start`` on whose anchor is at ``top``, its gram one of ``grams``.
 
     ``texts``: doc_id, text, grams. The two hashes stand for the bytes of all these windows and the anchor's place there.
     """
@@ -154,10 +154,10 @@ def segments(texts: DataFrame, length: int) -> DataFrame:
                 place = mix((a - lo).astype(U64))
                 h1 = run_hash(grams, GRAM, lo, n - 1 + length) ^ place
                 h2 = span_hash(heads, lo, lo + n - 1 + length) + place
-                cols = [b.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(signed(grams[a])), pa.array(signed(h1)), pa.array(signed(h2)), pa.array(lo - o[doc]), pa.array(n)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "gram", "h1", "h2", "start", "n"])
+                cols = [b.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(signed(grams[a])), pa.array(signed(h1)), pa.array(signed(h2)), pa.array(lo - o[doc]), pa.array(n), pa.array(a - o[doc])]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "gram", "h1", "h2", "start", "n", "top"])
 
-    return texts.mapInArrow(run, "doc_id long, gram long, h1 long, h2 long, start long, n long")
+    return texts.mapInArrow(run, "doc_id long, gram long, h1 long, h2 long, start long, n long, top long")
 
 
 def pieces(texts: DataFrame, length: int) -> DataFrame:
@@ -216,71 +216,41 @@ def sorted_blocks(rows: DataFrame, length: int, parts: int) -> DataFrame:
     return dealt.select("doc_id", "gram", "start", "n", "piece").mapInArrow(run, "doc_id long, start long, end long")
 
 
-def cells(texts: DataFrame, length: int) -> DataFrame:
-    """doc_id, start, n, core, around: steps of windows whose anchor's gram is in ``grams``. ``texts``: doc_id, text, grams.
+def cells(texts: DataFrame, length: int, step: int) -> DataFrame:
+    """doc_id, start, n, top, core, around: windows cut into runs of ``step`` starts, counted back from a common place.
 
-    ``core`` names the bytes that all windows of a step have in common, ``around`` all bytes of those in this text.
+    ``texts``: doc_id, text, parts (start, n, top, key): n windows from ``start`` on, in which ``top`` stands where it
+    stands in all that are equal. ``core`` names the bytes that all windows of a run have in common (for single windows
+    the key), ``around`` the bytes of all its windows in this text.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offs = utf8(b.column(1))
-            given, counts = column(b.column(2))
-            ends = np.concatenate([[0], np.cumsum(counts)])
-            for i, j, d, o in slices(data, offs):
-                grams = gram_hash(prefix(d), len(d), GRAM)
-                start, at = anchors(grams, o, length)
-                known = unsigned(given[ends[i] : ends[j]]) ^ mix(np.repeat(np.arange(j - i), counts[i:j]).astype(U64))
-                place = np.unique(at)
-                probe = grams[place] ^ mix((np.searchsorted(o, place, side="right") - 1).astype(U64))
-                flag = np.zeros(len(d) + 1, bool)
-                flag[place] = np.isin(probe, known)
-                pick = flag[at]
-                start, at = start[pick], at[pick]
-                doc = np.searchsorted(o, start, side="right") - 1
-                new = np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])]) if len(at) else np.empty(0, bool)
-                first = np.flatnonzero(new)
-                last = np.concatenate([first[1:], [len(at)]]) - 1 if len(first) else first
-                a, lo, hi = at[first], start[first], start[last]
-                g0, g1 = (a - hi) // STEP, (a - lo) // STEP
-                n = g1 - g0 + 1
-                run_of = np.repeat(np.arange(len(a)), n)
-                g = np.arange(len(run_of)) - np.repeat(np.cumsum(n) - n, n) + g0[run_of]
-                a, lo, hi = a[run_of], lo[run_of], hi[run_of]
-                p, q = np.maximum(lo, a - g * STEP - STEP + 1), np.minimum(hi, a - g * STEP)
-                core = run_hash(grams, GRAM, a - g * STEP, length - STEP + 1) ^ mix(g.astype(U64))
-                around = run_hash(grams, GRAM, p, q - p + length) ^ mix((a - p).astype(U64) + U64(1 << 32))
-                doc = doc[first][run_of]
-                ids = b.column(0).slice(i, j - i).to_numpy()[doc]
-                cols = [pa.array(ids), pa.array(p - o[doc]), pa.array(q - p + 1), pa.array(signed(core)), pa.array(signed(around))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n", "core", "around"])
-
-    return texts.mapInArrow(run, "doc_id long, start long, n long, core long, around long")
-
-
-def windows(texts: DataFrame, length: int) -> DataFrame:
-    """doc_id, start, core, name: the windows of steps. ``texts``: doc_id, text, steps (start, n, core)."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offs = utf8(b.column(1))
             col = b.column(2)
             ends = col.offsets.to_numpy() - col.offsets[0].as_py()
             flat = col.flatten()
-            start, n, core = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            start, n, top, key = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
             for i, j, d, o in slices(data, offs):
                 grams = gram_hash(prefix(d), len(d), GRAM)
                 part = slice(ends[i], ends[j])
                 doc = np.repeat(np.arange(j - i), np.diff(ends[i : j + 1]))
-                m = n[part]
-                step = np.repeat(np.arange(len(m)), m)
-                p = start[part][step] + np.arange(len(step)) - np.repeat(np.cumsum(m) - m, m)
-                at = p + o[doc[step]]
-                name = run_hash(grams, GRAM, at, length)
-                ids = b.column(0).slice(i, j - i).to_numpy()[doc[step]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(p), pa.array(core[part][step]), pa.array(signed(name))], ["doc_id", "start", "core", "name"])
-
-    return texts.mapInArrow(run, "doc_id long, start long, core long, name long")
+                lo, hi, up = start[part] + o[doc], start[part] + n[part] - 1 + o[doc], top[part] + o[doc]
+                g0, g1 = (up - hi) // step, (up - lo) // step
+                m = g1 - g0 + 1
+                of = np.repeat(np.arange(len(m)), m)
+                g = np.arange(len(of)) - np.repeat(np.cumsum(m) - m, m) + g0[of]
+                up = up[of] - g * step
+                p, q, doc = np.maximum(lo[of], up - step + 1), np.minimum(hi[of], up), doc[of]
+                core = unsigned(key[part][of])
+                if step > 1:
+                    core = mix(core + g.astype(U64)) ^ run_hash(grams, GRAM, up, length - step + 1)
+                around = run_hash(grams, GRAM, p, q - p + length) ^ mix((up - p).astype(U64))
+                ids = b.column(0).slice(i, j - i).take(pa.array(doc))
+                cols = [ids, *[pa.array(x) for x in (p - o[doc], q - p + 1, up - o[doc], signed(core), signed(around))]]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n", "top", "core", "around"])
+
+    return texts.mapInArrow(run, "doc_id long, start long, n long, top long, core long, around long")
 
 
 def cut(texts: DataFrame, with_text: bool) -> DataFrame:
@@ -318,22 +288,25 @@ def cut(texts: DataFrame, with_text: bool) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def split_buckets(texts: DataFrame, scratch: Scratch, length: int) -> DataFrame:
-    """doc_id, start, end: spans of windows that stand elsewhere in their bucket, by counting names. ``texts``: doc_id, text, grams."""
-    steps = scratch.save(cells(texts, length), "steps")
-    names = steps.groupBy("core", "around").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "start", "n")).alias("one"))
-    names = scratch.save(names, "names")
-    tied = names.groupBy("core").agg(F.sum("c").alias("all"), F.count("*").alias("kinds")).where("all > 1").select("core", "kinds")
-    tied = scratch.save(tied, "ties")
-    names = scratch.save(names.join(tied, "core"), "tied")
-    # steps with equal surroundings: all their windows stand elsewhere too
-    whole = steps.join(names.where("c > 1").select("core", "around"), ["core", "around"]).select("doc_id", "start", (F.col("start") + F.col("n") - 1 + length).alias("end"))
-    # steps that agree in their core only: window by window, one of each kind
-    open_ = names.where("kinds > 1").select("one.*", "core").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "core")).alias("steps"))
-    single = scratch.save(windows(texts.select("doc_id", "text").join(open_.hint("merge"), "doc_id"), length), "windows")
-    found = single.groupBy("core", "name").agg(F.count("*").alias("c")).where("c > 1").select("core", "name")
-    found = scratch.save(found, "found")
-    return whole.unionAll(single.join(found, ["core", "name"]).select("doc_id", "start", (F.col("start") + length).alias("end")))
+def split_buckets(texts: DataFrame, parts: DataFrame, scratch: Scratch, length: int) -> DataFrame:
+    """doc_id, start, end: spans of windows that stand elsewhere in their bucket, by counting names, coarse to fine.
+
+    ``parts``: doc_id, start, n, top, key. Runs of windows whose core no other run has are done with; runs equal in all
+    their bytes stand elsewhere as wholes; of each kind of the others one is cut into shorter runs.
+    """
+    spans = None
+    for step in STEPS:
+        own = parts.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "top", "key")).alias("parts"))
+        runs = scratch.save(cells(texts.select("doc_id", "text").join(own.hint("merge"), "doc_id"), length, step), "runs")
+        names = runs.groupBy("core", "around").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "start", "n", "top")).alias("one"))
+        names = scratch.save(names, "names")
+        twice = scratch.save(names.where("c > 1").select("core", "around"), "twice")
+        whole = runs.join(twice, ["core", "around"]).select("doc_id", "start", (F.col("start") + F.col("n") - 1 + length).alias("end"))
+        spans = whole if spans is None else spans.unionAll(whole)
+        if step > 1:
+            tied = scratch.save(names.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core"), "ties")
+            parts = scratch.save(names.join(tied, "core").select("one.*", F.col("core").alias("key")), "parts")
+    return spans
 
 
 def remove_repeats(df: DataFrame, scratch: Scratch, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, words: int = 0, most_segments: int = 512) -> DataFrame:
@@ -366,17 +339,17 @@ def remove_repeats(df: DataFrame, scratch: Scratch, length: int = 400, id_col: s
     often = scratch.save(at.groupBy("gram").agg(F.sum("times").alias("c")).where("c > 1").select("gram"), "often")
     known = at.join(often, "gram").select("doc_id", "gram")
     if words:
-        runs = scratch.save(brief(docs, words, length), "runs")
+        runs = scratch.save(brief(docs, words, length), "short")
         shared = scratch.save(runs.groupBy("name").agg(F.sum("times").alias("c")).where("c > 1").select("name"), "shared")
         runs = scratch.save(runs.join(shared, "name").select("doc_id", F.explode(F.arrays_zip("start", "end")).alias("x")).select("doc_id", "x.*"), "brief")
-        scratch.drop("runs")
+        scratch.drop("short")
         known = known.unionAll(runs.select("doc_id", F.lit(None).cast("long")))  # their texts are needed, no gram is
     grams = known.groupBy("doc_id").agg(F.collect_list("gram").alias("grams"))
     # joins of texts are merge joins at every size: one plan to know
     texts = scratch.save(docs.join(grams.hint("merge"), "doc_id"), "texts")
     scratch.drop("grams")
     segs = scratch.save(segments(texts, length), "segments")
-    kinds = segs.groupBy("gram", "h1", "h2").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "start", "n")).alias("one"))
+    kinds = segs.groupBy("gram", "h1", "h2").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "start", "n", "top")).alias("one"))
     kinds = scratch.save(kinds, "kinds")
     # segments that stand twice: all their windows do
     whole = segs.join(kinds.where("c > 1").select("gram", "h1", "h2"), ["gram", "h1", "h2"]).select("doc_id", "start", (F.col("start") + F.col("n") - 1 + length).alias("end"))
@@ -386,16 +359,15 @@ def remove_repeats(df: DataFrame, scratch: Scratch, length: int = 400, id_col: s
     small = open_.where(F.col("kinds") <= most_segments).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "gram")).alias("parts"))
     rows = pieces(texts.select("doc_id", "text").join(small.hint("merge"), "doc_id").select("doc_id", "text", "parts"), length)
     some = scratch.save(sorted_blocks(rows, length, int(spark.conf.get("spark.sql.shuffle.partitions"))), "sorted")
-    large = open_.where(F.col("kinds") > most_segments).groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))
-    large = scratch.save(large, "large")
+    large = scratch.save(open_.where(F.col("kinds") > most_segments).select("doc_id", "start", "n", "top", F.col("gram").alias("key")), "large")
     if not large.isEmpty():
-        some = some.unionAll(split_buckets(texts.select("doc_id", "text").join(large.hint("merge"), "doc_id"), scratch, length))
+        some = some.unionAll(split_buckets(texts, large, scratch, length))
     spans = whole.unionAll(some)
     if words:
         spans = spans.unionAll(runs.select("doc_id", "start", "end"))
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     done = scratch.save(cut(texts.select("doc_id", "text").join(spans.hint("merge"), "doc_id"), with_text).dropDuplicates(["doc_id"]), "cut")
-    scratch.drop("segments", "kinds", "buckets", "open", "sorted", "large", "steps", "names", "tied", "ties", "windows", "found", "often", "copies", "texts")
+    scratch.drop("segments", "kinds", "buckets", "open", "sorted", "large", "runs", "parts", "names", "twice", "ties", "often", "copies", "texts")
     out = base.select("doc_id", "unnamed", "n_bytes", "sha").join(done, "doc_id", "left").join(members, "doc_id", "left")
     gone = F.col("rep").isNotNull() & (F.col("n_bytes") >= length)
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
