@@ -48,8 +48,10 @@ class Scratch:
         self.n += 1
         return f"{self.base}/{self.n:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, few: bool = False) -> DataFrame:
+        """With ``few``, by two tasks for each core at most: small tables aren't spread over a file for each partition."""
         path = self.path(name)
+        df = df.coalesce(2 * self.spark.sparkContext.defaultParallelism) if few else df
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

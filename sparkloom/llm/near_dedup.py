@@ -209,12 +209,12 @@ def near_duplicates(df: DataFrame, scratch: Scratch, k: int = 5, percent: int =
     docs = docs.drop("unnamed")
     full = sk.where("n_shingles > 0")
     copies = full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
-    copies = scratch.save(copies, "copies")  # a table of its own, so that a hot set's rows can be split in the join
+    copies = scratch.save(copies, "copies", few=True)  # a table of its own, so that a hot set's rows can be split in the join
     members = scratch.save(full.select("doc_id", "h1", "h2", "n_shingles").join(copies, ["h1", "h2", "n_shingles"]).select("doc_id", "rep").distinct(), "members")
     doubles = members.where("doc_id <> rep").select("doc_id")
     keys = scratch.save(full.select("doc_id", "n_shingles", F.explode("bands").alias("key")).join(doubles, "doc_id", "left_anti"), "keys")
     hubs = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).where("c > 1").select("key", "a")
-    hubs = scratch.save(hubs, "hubs")
+    hubs = scratch.save(hubs, "hubs", few=True)
     blocks = lambda docs, shingles, most: F.greatest(F.ceil(docs / most), F.ceil(shingles / block_shingles), F.lit(1)).cast("int")
     total = [F.count("*").alias("g"), F.sum("n_shingles").alias("s")]
 
@@ -224,7 +224,7 @@ def near_duplicates(df: DataFrame, scratch: Scratch, k: int = 5, percent: int =
     # the texts of all candidates, once; merge joins at every size: one plan to know
     candidates = near.select("doc_id").unionAll(near.select(F.col("a").alias("doc_id"))).distinct()
     pool = scratch.save(docs.join(candidates.hint("merge"), "doc_id").dropDuplicates(["doc_id"]), "candidate-texts")
-    fan = scratch.save(near.groupBy("a").agg(*total).select("a", blocks(F.col("g"), F.col("s"), -(-most_block // 8)).alias("n")), "fan")
+    fan = scratch.save(near.groupBy("a").agg(*total).select("a", blocks(F.col("g"), F.col("s"), -(-most_block // 8)).alias("n")), "fan", few=True)
     spokes = near.join(fan, "a").select("doc_id", F.concat_ws(":", "a", F.pmod(F.xxhash64("doc_id"), F.col("n"))).alias("group"), F.lit(1).alias("side"))
     centres = fan.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select("doc_id", F.concat_ws(":", "a", "i").alias("group"), F.lit(0).alias("side"))
     texts = pool.join(scratch.save(spokes.unionAll(centres), "spokes").hint("merge"), "doc_id").withColumn("label", F.col("side").cast("long"))
@@ -235,14 +235,14 @@ def near_duplicates(df: DataFrame, scratch: Scratch, k: int = 5, percent: int =
     keys = scratch.save(keys.join(first, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "labelled")
     scratch.drop("keys", "hubs")
     still = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "a")
-    still = scratch.save(still, "open")
+    still = scratch.save(still, "open", few=True)
     inside = scratch.save(keys.join(still, "key").select("a", "doc_id", "n_shingles", "label").distinct(), "inside")
     scratch.drop("labelled", "open")
     classes = components(inside.select("a", F.col("doc_id").alias("b")), scratch, "candidates").select(F.col("node").alias("doc_id"), "component")
     classes = scratch.save(inside.select("doc_id", "n_shingles", "label").distinct().join(classes, "doc_id"), "placed")
     # a class is dealt into blocks; each document goes to the pairs that its block is part of
     block = F.least(F.lit(most_block), F.greatest(F.lit(least_block), F.ceil(F.col("g") / 16)))
-    size = scratch.save(classes.groupBy("component").agg(*total).select("component", blocks(F.col("g"), F.col("s"), block).alias("n")), "sizes")
+    size = scratch.save(classes.groupBy("component").agg(*total).select("component", blocks(F.col("g"), F.col("s"), block).alias("n")), "sizes", few=True)
     placed = scratch.save(classes.join(size, "component").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int")), "blocks")
     dealt = pool.join(placed.hint("merge"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     group = F.concat_ws(":", "component", F.least("own", "other"), F.greatest("own", "other"))

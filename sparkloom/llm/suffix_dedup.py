@@ -2,7 +2,8 @@
 
 Every ``length``-byte window is the head of a suffix. A suffix belongs to the bucket of its window's anchor: the 64-byte
 gram of smallest hash in it, so equal windows meet in one bucket wherever they stand. A bucket is made of segments, the
-bytes of windows that follow each other under one anchor; equal segments are counted first and stand there once. Then a
+bytes of windows that follow each other under one anchor; equal chains of segments and then equal segments are counted
+first, and one of each kind is looked at. Then a
 task sorts one block of buckets after the other with a difference cover (see ``suffix_sort``), and windows are compared
 byte by byte. Only texts with a gram that occurs twice are looked at, and only buckets with two segments are sorted.
 
@@ -130,11 +131,15 @@ def column(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return col.values.to_numpy(zero_copy_only=False)[offs[0] : offs[-1]], np.diff(offs)
 
 
-def segments(texts: DataFrame, length: int) -> DataFrame:
-    """doc_id, gram, h1, h2, start, n, top: the n windows from ``start`` on whose anchor is at ``top``, its gram one of ``grams``.
+def chunks(texts: DataFrame, length: int) -> DataFrame:
+    """doc_id, start, end, k1, k2, segments: chains of segments whose anchors' grams are among ``grams``.
 
-    ``texts``: doc_id, text, grams. The two hashes stand for the bytes of all these windows and the anchor's place there.
+    ``texts``: doc_id, text, grams. A segment (gram, h1, h2, start, n, top) is the n windows from ``start`` on whose
+    anchor is at ``top``; two hashes stand for the bytes of all these windows and the anchor's place there. A chain ends
+    at a gap, and before a gram whose hash is smaller than both its neighbours', about every third; so any passage of
+    some segments has chains of its own. k1 and k2 stand for all bytes of a chain.
     """
+    kinds = [("gram", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("top", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,13 +156,27 @@ def segments(texts: DataFrame, length: int) -> DataFrame:
                 known = unsigned(given[ends[i] : ends[j]]) ^ mix(np.repeat(np.arange(j - i), counts[i:j]).astype(U64))
                 pick = np.isin(grams[a] ^ mix(doc.astype(U64)), known)
                 a, lo, n, doc = a[pick], lo[pick], n[pick], doc[pick]
-                place = mix((a - lo).astype(U64))
-                h1 = run_hash(grams, GRAM, lo, n - 1 + length) ^ place
-                h2 = span_hash(heads, lo, lo + n - 1 + length) + place
-                cols = [b.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(signed(grams[a])), pa.array(signed(h1)), pa.array(signed(h2)), pa.array(lo - o[doc]), pa.array(n), pa.array(a - o[doc])]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "gram", "h1", "h2", "start", "n", "top"])
-
-    return texts.mapInArrow(run, "doc_id long, gram long, h1 long, h2 long, start long, n long, top long")
+                place, size = mix((a - lo).astype(U64)), n - 1 + length
+                h1 = run_hash(grams, GRAM, lo, size) ^ place
+                h2 = span_hash(heads, lo, lo + size) + place
+                mark = np.append(mix(grams[a]), np.iinfo(np.uint64).max)
+                cut = (lo[1:] != lo[:-1] + n[:-1]) | (doc[1:] != doc[:-1]) | ((mark[1:-1] < mark[:-2]) & (mark[1:-1] < mark[2:]))
+                first = np.flatnonzero(np.concatenate([[True], cut])) if len(a) else a
+                last = np.append(first[1:], len(a)) - 1 if len(a) else a
+                head, end, own = lo[first], lo[last] + size[last], o[doc[first]]
+                values = (signed(grams[a]), signed(h1), signed(h2), lo - o[doc], n, a - o[doc])
+                inner = pa.StructArray.from_arrays([pa.array(v, k) for v, (_, k) in zip(values, kinds, strict=True)], names=[x for x, _ in kinds])
+                cols = [
+                    b.column(0).slice(i, j - i).take(pa.array(doc[first])),
+                    pa.array(head - own),
+                    pa.array(end - own),
+                    pa.array(signed(run_hash(grams, GRAM, head, end - head))),
+                    pa.array(signed(span_hash(heads, head, end))),
+                    pa.ListArray.from_arrays(pa.array(np.append(first, len(a)), pa.int32()), inner),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "end", "k1", "k2", "segments"])
+
+    return texts.mapInArrow(run, "doc_id long, start long, end long, k1 long, k2 long, segments array<struct<" + ",".join(f"{x}:bigint" for x, _ in kinds) + ">>")
 
 
 def pieces(texts: DataFrame, length: int) -> DataFrame:
@@ -300,11 +319,11 @@ def split_buckets(texts: DataFrame, parts: DataFrame, scratch: Scratch, length:
         runs = scratch.save(cells(texts.select("doc_id", "text").join(own.hint("merge"), "doc_id"), length, step), "runs")
         names = runs.groupBy("core", "around").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "start", "n", "top")).alias("one"))
         names = scratch.save(names, "names")
-        twice = scratch.save(names.where("c > 1").select("core", "around"), "twice")
+        twice = scratch.save(names.where("c > 1").select("core", "around"), "twice", few=True)
         whole = runs.join(twice, ["core", "around"]).select("doc_id", "start", (F.col("start") + F.col("n") - 1 + length).alias("end"))
         spans = whole if spans is None else spans.unionAll(whole)
         if step > 1:
-            tied = scratch.save(names.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core"), "ties")
+            tied = scratch.save(names.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core"), "ties", few=True)
             parts = scratch.save(names.join(tied, "core").select("one.*", F.col("core").alias("key")), "parts")
     return spans
 
@@ -330,13 +349,13 @@ def remove_repeats(df: DataFrame, scratch: Scratch, length: int = 400, id_col: s
     base = scratch.save(anchored(docs, length), "anchors")
     docs = docs.drop("unnamed")
     copies = base.groupBy("sha", "n_bytes").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
-    copies = scratch.save(copies, "copies")
+    copies = scratch.save(copies, "copies", few=True)
     members = scratch.save(base.select("doc_id", "sha", "n_bytes").join(copies, ["sha", "n_bytes"]).select("doc_id", "rep").distinct(), "members")
     alone = base.join(members.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")
     at = alone.where(F.size("gram") > 0).select("doc_id", F.explode(F.arrays_zip("gram", "times")).alias("x")).select("doc_id", "x.gram", "x.times")
     at = scratch.save(at, "grams")
     # tables of their own here and below, so that the rows of a hot key can be split in the join that follows
-    often = scratch.save(at.groupBy("gram").agg(F.sum("times").alias("c")).where("c > 1").select("gram"), "often")
+    often = scratch.save(at.groupBy("gram").agg(F.sum("times").alias("c")).where("c > 1").select("gram"), "often", few=True)
     known = at.join(often, "gram").select("doc_id", "gram")
     if words:
         runs = scratch.save(brief(docs, words, length), "short")
@@ -348,26 +367,34 @@ def remove_repeats(df: DataFrame, scratch: Scratch, length: int = 400, id_col: s
     # joins of texts are merge joins at every size: one plan to know
     texts = scratch.save(docs.join(grams.hint("merge"), "doc_id"), "texts")
     scratch.drop("grams")
-    segs = scratch.save(segments(texts, length), "segments")
+    # chains that stand twice: all their windows do; of each kind of chain one is looked at closer
+    chains = scratch.save(chunks(texts, length), "chains")
+    one = chains.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "start", "segments")).alias("one"))
+    one = scratch.save(one, "chain-kinds")
+    twice = scratch.save(one.where("c > 1").select("k1", "k2"), "chains-twice", few=True)
+    spans = chains.join(twice, ["k1", "k2"]).select("doc_id", "start", "end")
+    segs = one.select("one.doc_id", F.explode("one.segments").alias("x")).select("doc_id", "x.*")
+    segs = scratch.save(segs, "segments")
     kinds = segs.groupBy("gram", "h1", "h2").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "start", "n", "top")).alias("one"))
     kinds = scratch.save(kinds, "kinds")
     # segments that stand twice: all their windows do
-    whole = segs.join(kinds.where("c > 1").select("gram", "h1", "h2"), ["gram", "h1", "h2"]).select("doc_id", "start", (F.col("start") + F.col("n") - 1 + length).alias("end"))
+    again = scratch.save(kinds.where("c > 1").select("gram", "h1", "h2"), "segments-twice", few=True)
+    whole = segs.join(again, ["gram", "h1", "h2"]).select("doc_id", "start", (F.col("start") + F.col("n") - 1 + length).alias("end"))
     # buckets of several kinds: one segment of each
-    buckets = scratch.save(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"), "buckets")
+    buckets = scratch.save(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"), "buckets", few=True)
     open_ = scratch.save(kinds.join(buckets, "gram").select("one.*", "gram", "kinds"), "open")
     small = open_.where(F.col("kinds") <= most_segments).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "gram")).alias("parts"))
     rows = pieces(texts.select("doc_id", "text").join(small.hint("merge"), "doc_id").select("doc_id", "text", "parts"), length)
     some = scratch.save(sorted_blocks(rows, length, int(spark.conf.get("spark.sql.shuffle.partitions"))), "sorted")
-    large = scratch.save(open_.where(F.col("kinds") > most_segments).select("doc_id", "start", "n", "top", F.col("gram").alias("key")), "large")
+    large = scratch.save(open_.where(F.col("kinds") > most_segments).select("doc_id", "start", "n", "top", F.col("gram").alias("key")), "large", few=True)
     if not large.isEmpty():
         some = some.unionAll(split_buckets(texts, large, scratch, length))
-    spans = whole.unionAll(some)
+    spans = spans.unionAll(whole).unionAll(some)
     if words:
         spans = spans.unionAll(runs.select("doc_id", "start", "end"))
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     done = scratch.save(cut(texts.select("doc_id", "text").join(spans.hint("merge"), "doc_id"), with_text).dropDuplicates(["doc_id"]), "cut")
-    scratch.drop("segments", "kinds", "buckets", "open", "sorted", "large", "runs", "parts", "names", "twice", "ties", "often", "copies", "texts")
+    scratch.drop("chains", "chain-kinds", "chains-twice", "segments", "segments-twice", "kinds", "buckets", "open", "sorted", "large", "runs", "parts", "names", "twice", "ties", "often", "copies", "texts")
     out = base.select("doc_id", "unnamed", "n_bytes", "sha").join(done, "doc_id", "left").join(members, "doc_id", "left")
     gone = F.col("rep").isNotNull() & (F.col("n_bytes") >= length)
     nothing = F.lit(hashlib.sha256(b"").hexdigest())

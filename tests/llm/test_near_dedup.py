@@ -16,11 +16,11 @@ from sparkloom.llm.graph import components
 class Counted(Scratch):
     """Remembers the tables that were written."""
 
-    def save(self, df, name):
+    def save(self, df, name, few=False):
         self.names = [*getattr(self, "names", []), name]
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         self.widest = max(getattr(self, "widest", 0), len(re.findall(r"\bJoin\b", plan)))
-        return super().save(df, name)
+        return super().save(df, name, few)
 
 
 @pytest.mark.parametrize("order", ["up", "shuffled"])
