@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, ship
 
 WORD = re.compile(r"[^\W\d_]+")
+MIXED = re.compile(r"[\W\d_]*([^\W\d_]+[\W\d_][^\W\d_]+)[\W\d_]*")  # letters with one other character among them
 STEMS = (4, 5, 6, 7)
 FEATURES = ("exact", "misspelled", "densest", "quoted", "rate")
 OPEN, CLOSE = "\"“«„‘'", "\"”»“’'"
@@ -72,6 +73,8 @@ class Tokens(dict):
             x = self.matcher.word(w)
             if x[0] > v[0]:
                 v = x
+        if not v[0]:
+            v = self.matcher.disguised(token)
         if len(self) < CACHE and len(token) <= LONGEST:
             self[token] = v
         return v
@@ -85,11 +88,12 @@ class Matcher:
     """Weights of words: of a term, of a stem, or of a term that the word misspells (``misspelled`` tells which).
 
     A word misspells a term of ``least`` letters or more when it is one edit away; nearly every short word is one edit
-    from some shorter term, so those are met exactly or by their stem only.
+    from some shorter term, so those are met exactly or by their stem only. ``disguised`` is for tokens none of whose
+    words is met: two neighbouring letters may be swapped, and the one edit may be a digit or symbol among the letters.
     """
 
     def __init__(self, words: dict[str, float], stems: dict[str, float], plain: frozenset[str], least: int = 5):
-        self.words, self.stems, self.plain = words, stems, plain
+        self.words, self.stems, self.plain, self.least = words, stems, plain, least
         self.trie = Trie({w: v for w, v in words.items() if len(w) >= least})
         # texts one edit apart become equal by deleting at most one character of each
         self.deleted = {x for w in words if len(w) >= least for x in (w, *(w[:i] + w[i + 1 :] for i in range(len(w))))}
@@ -102,12 +106,23 @@ class Matcher:
         for k in reversed(STEMS):
             if (v := self.stems.get(w[:k])) is not None and len(w) >= k:
                 return v, False
+        return self.misspelled(w)
+
+    def misspelled(self, w: str) -> tuple[float, bool]:
         if len(w) not in self.lengths or w in self.plain:
             return NONE
         if w in self.deleted or any(w[:i] + w[i + 1 :] in self.deleted for i in range(len(w))):
             return max((v for _, v in self.trie.near(w, 1)), default=0.0), True
         return NONE
 
+    def disguised(self, token: str) -> tuple[float, bool]:
+        core = MIXED.fullmatch(token)
+        most = self.misspelled(core[1])[0] if core else 0.0
+        for w in WORD.findall(token):
+            if len(w) >= self.least and len(w) in self.lengths and w not in self.plain:
+                most = max(most, *(self.words.get(w[:i] + w[i + 1] + w[i] + w[i + 2 :], 0.0) for i in range(len(w) - 1)))
+        return (most, True) if most else NONE
+
     def tokens(self) -> Tokens:
         """The table of tokens met so far, kept from task to task in a worker; that of one matcher at a time."""
         if self.key not in _tokens:
@@ -182,8 +197,10 @@ def mine_lexicon(texts: DataFrame, least_docs: int, least_weight: float) -> Matc
 
         for b in batches:
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = set(WORD.findall(text.lower())) if text else set()
-                for e in [*words, *{w[:k] + "*" for w in words for k in STEMS if len(w) >= k}]:
+                low = text.lower() if text else ""
+                words = set(WORD.findall(low))
+                mixed = {"=" + m[1] for t in set(low.split()) if not t.isalpha() and (m := MIXED.fullmatch(t))}
+                for e in [*words, *mixed, *{w[:k] + "*" for w in words for k in STEMS if len(w) >= k}]:
                     if (v := seen.get(e)) is None:
                         v = seen[e] = [0, 0]
                     v[label] += 1
@@ -200,7 +217,7 @@ def mine_lexicon(texts: DataFrame, least_docs: int, least_weight: float) -> Matc
     weight = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     # a low estimate: chance finds of few documents weigh little
     weight = weight - 1.64 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    rows = df.where(F.col("toxic") >= least_docs).withColumn("w", weight).where(F.col("w") >= least_weight)
+    rows = df.where((F.col("toxic") >= least_docs) & ~F.col("entry").startswith("=")).withColumn("w", weight).where(F.col("w") >= least_weight)
     rows = rows.collect()  # the labelled sample bounds them
     words = {r.entry: min(r.w, 6.0) for r in rows if not r.entry.endswith("*")}
     stems = {r.entry[:-1]: min(r.w, 6.0) for r in rows if r.entry.endswith("*")}
@@ -208,10 +225,14 @@ def mine_lexicon(texts: DataFrame, least_docs: int, least_weight: float) -> Matc
 
     def benign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = [e for e in b.column(0).to_pylist() if (v := first.word(e))[0] and v[1]]
+            near = []
+            for e in b.column(0).to_pylist():
+                v = first.misspelled(e[1:]) if e[0] == "=" else first.word(e)
+                if (v[0] and v[1]) or (not v[0] and e[0] != "=" and first.disguised(e)[0]):
+                    near.append(e.removeprefix("="))
             yield pa.RecordBatch.from_arrays([pa.array(near, pa.string())], ["entry"])
 
-    # words of clean texts that happen to be one edit from a term aren't misspellings
+    # words of clean texts that happen to be one edit (or swap) from a term aren't misspellings
     near = df.where("clean > 0 and entry not like '%*'").select("entry").mapInArrow(benign, "entry string").collect()
     return Matcher(words, stems, frozenset(r.entry for r in near))
 

@@ -381,6 +381,17 @@ def test_toxicity_judges_every_occurrence():
     assert again[0] == pytest.approx(math.log1p(3.0)) and again[2] == pytest.approx(math.log1p(2.0))
 
 
+def test_toxicity_disguised_terms(spark):
+    """One symbol or digit among the letters, or two neighbours swapped; not what clean texts hold too, nor short words."""
+    m = toxicity.Matcher({"worthless": 3.0, "stupid": 2.0, "scum": 1.0}, {}, frozenset())
+    for token, want in [("w0rthless", 3.0), ("(st*pid!)", 2.0), ("stu-pid", 2.0), ("wrothless,", 3.0), ("stupdi", 2.0), ("s1up1d", 0.0), ("sc*m", 0.0), ("csum", 0.0), ("x-wrothless", 3.0), ("", 0.0), ("1*2", 0.0)]:
+        assert m.tokens()[token] == ((want, True) if want else toxicity.NONE), token
+    rows = [("you w0rthless stupid worthless thing", 1)] * 30 + [("the stu-pid and the stupdi of the thing", 0)] * 60
+    m = toxicity.mine_lexicon(spark.createDataFrame(rows, "text string, label int"), 3, 0.7)
+    assert {"worthless", "stupid"} <= set(m.words) and "w0rthless" not in m.words and {"stu-pid", "stupdi"} <= m.plain
+    assert toxicity.Matcher(m.words, {}, m.plain).tokens()["stu-pid"] == toxicity.NONE
+
+
 def test_toxicity_lexicon_is_whole(spark):
     """More terms than 2000, and more clean words one edit from them than 40,000."""
     rng = random.Random(9)
