@@ -272,8 +272,16 @@ def cells(texts: DataFrame, length: int, step: int) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, start long, n long, top long, core long, around long")
 
 
+def whole_characters(text: np.ndarray, gone: np.ndarray) -> bytes:
+    """The bytes of the characters none of whose bytes is ``gone``."""
+    char = np.cumsum((text & 0xC0) != 0x80)
+    broken = np.zeros(len(text) + 1, bool)
+    broken[char[gone]] = True
+    return text[~broken[char]].tobytes()
+
+
 def cut(texts: DataFrame, with_text: bool) -> DataFrame:
-    """doc_id, n_removed, n_spans, kept_sha256 and perhaps the kept bytes. ``texts``: doc_id, text, spans (start, end)."""
+    """doc_id, n_removed, n_spans, kept_sha256 and perhaps kept. ``texts``: doc_id, text, spans (start, end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -290,11 +298,12 @@ def cut(texts: DataFrame, with_text: bool) -> DataFrame:
                 np.add.at(marks, start[ends[i] : ends[i + 1]], 1)
                 np.add.at(marks, end[ends[i] : ends[i + 1]], -1)
                 gone = np.cumsum(marks)[:-1] > 0
-                kept = text[~gone].tobytes()
+                digest = hashlib.sha256(text[~gone].tobytes()).hexdigest()
+                kept = whole_characters(text, gone) if with_text else None
                 spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
-                for c, v in zip(out, (doc, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None), strict=True):
+                for c, v in zip(out, (doc, int(gone.sum()), spans, digest, kept), strict=True):
                     c.append(v)
-                size += len(kept) if with_text else 0
+                size += len(kept) if kept else 0
                 if size > 8 << 20:
                     yield batch(out)
                     out, size = [[] for _ in range(5)], 0
@@ -329,11 +338,11 @@ def split_buckets(texts: DataFrame, parts: DataFrame, scratch: Scratch, length:
 
 
 def remove_repeats(df: DataFrame, scratch: Scratch, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, words: int = 0, most_segments: int = 512) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 (and kept, the bytes) for each row of ``df`` (rows of equal id are equal).
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 (and kept) for each row of ``df`` (rows of equal id are equal).
 
     Each byte is removed that a ``length``-byte string covers which also starts at another place of any text; the same
-    text counts, overlaps count, and strings are judged on the input. Texts are UTF-8 bytes; with ``with_text``, kept is
-    null for a text that stays whole. Of equal texts one stands for all: the others and itself, of ``length`` bytes or
+    text counts, overlaps count, and strings are judged on the input. Texts are UTF-8 bytes; with ``with_text``, kept holds
+    the remaining bytes but for characters that are cut in two, and is null for a text that stays whole. Of equal texts one stands for all: the others and itself, of ``length`` bytes or
     more, are covered by each other throughout, as are repeated rows. A text's own repeats are found like those of others. Rows without an
     id are judged like others and get a null id. Null and empty texts lose nothing; an empty table gives an empty result;
     other columns of ``df``, whatever their names, aren't read. ``length`` must be 128 at least. With ``words``, strings

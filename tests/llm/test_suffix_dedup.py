@@ -54,3 +54,16 @@ def brute_cut(texts, length):
         spans = sum(gone[k] and not (k and gone[k - 1]) for k in range(len(b)))
         out[i] = (len(b), sum(gone[: len(b)]), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())
     return out
+
+
+def test_kept_text_has_whole_characters(spark):
+    """Cuts within a character take the rest of it along; replacement characters of the text itself stay."""
+    rng = random.Random(8)
+    shared = b"\xa9" + "".join(rng.choices("abcdé€", k=400)).encode() + b"\xe2\x82"
+    texts = ["\ufffdqé".encode() + shared[1:-2], b"x\xef\xbf\xbd\xc3" + shared + b"\xac\xef\xbf\xbdend", b"yy\xc2" + shared + b"\xa0 z"]
+    texts = [t.decode() for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(df, Scratch(spark), with_text=True).collect()}
+    cuts = brute_cut(dict(enumerate(texts)), 400)
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == cuts
+    assert [bytes(got[i].kept).decode() for i in range(3)] == ["\ufffdq", "x\ufffd\ufffdend", "yy z"]
