@@ -46,10 +46,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def trimmed(df: DataFrame) -> DataFrame:
-    """Puts the bytes in ``kept``, where there are any, in the place of text; broken characters at cuts are left out."""
-    whole = F.expr("try_validate_utf8(cast(kept as string))")
-    mended = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
-    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.coalesce(whole, mended))
+    """Puts the characters in ``kept``, where there are any, in the place of text."""
+    text = F.coalesce(F.make_valid_utf8(F.col("kept").cast("string")), F.col("text"))
     return df.withColumn("text", text).withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 
 
