@@ -68,13 +68,15 @@ class Tokens(dict):
         self.matcher = matcher
 
     def __missing__(self, token: str) -> tuple[float, bool]:
-        v = NONE
-        for w in WORD.findall(token):
+        v, words, close = NONE, WORD.findall(token), []
+        for w in words:
             x = self.matcher.word(w)
             if x[0] > v[0]:
                 v = x
-        if not v[0]:
-            v = self.matcher.disguised(token)
+            elif x[1]:
+                close.append(w)
+        if not v[0] and (close or len(words) == 2):
+            v = self.matcher.disguised(token, close)
         if len(self) < CACHE and len(token) <= LONGEST:
             self[token] = v
         return v
@@ -115,11 +117,12 @@ class Matcher:
             return max((v for _, v in self.trie.near(w, 1)), default=0.0), True
         return NONE
 
-    def disguised(self, token: str) -> tuple[float, bool]:
+    def disguised(self, token: str, close: list[str]) -> tuple[float, bool]:
+        """``close``: words of the token that are a term but for one letter of each (all swapped ones are)."""
         core = MIXED.fullmatch(token)
         most = self.misspelled(core[1])[0] if core else 0.0
-        for w in WORD.findall(token):
-            if len(w) >= self.least and len(w) in self.lengths and w not in self.plain:
+        for w in close:
+            if len(w) >= self.least:
                 most = max(most, *(self.words.get(w[:i] + w[i + 1] + w[i] + w[i + 2 :], 0.0) for i in range(len(w) - 1)))
         return (most, True) if most else NONE
 
@@ -228,7 +231,7 @@ def mine_lexicon(texts: DataFrame, least_docs: int, least_weight: float) -> Matc
             near = []
             for e in b.column(0).to_pylist():
                 v = first.misspelled(e[1:]) if e[0] == "=" else first.word(e)
-                if (v[0] and v[1]) or (not v[0] and e[0] != "=" and first.disguised(e)[0]):
+                if v[1] and (v[0] or first.disguised("", [e])[0]):
                     near.append(e.removeprefix("="))
             yield pa.RecordBatch.from_arrays([pa.array(near, pa.string())], ["entry"])
 
