@@ -160,6 +160,21 @@ def test_search_guard(engine):
     assert tight.query("{ flexSearchOrders(postFilter: {id: 1}) { id } }").problems[0].code == "FLEX_SEARCH_TOO_MANY_OBJECTS"
 
 
+def test_search_is_whole_without_a_limit(spark, tmp_path):
+    lang = "element_at(array('en', 'en', 'de', cast(null AS string)), cast(id % 4 AS int) + 1)"
+    spark.range(1, 3002).selectExpr("id AS doc_id", "concat('word ', id) AS text", f"{lang} AS lang", "'s' AS source", "id % 7 AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = duckdb.connect()
+    docs.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    rows = queries.QUERIES["search_post_filter"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, rows)) == sorted(docs.sql(queries.ORACLES["search_post_filter"]).fetchall()) and len(rows) == 3
+    shop = queries.engine(spark, str(tmp_path))
+    english = 'flexSearchFilter: {lang: "en"}'
+    got = data(shop, "{ a: flexSearchDocuments(%s, postFilter: {chars_gt: 0}) { id } b: flexSearchDocuments(%s, orderBy: [chars_DESC, id_ASC]) { id chars } c: _flexSearchDocumentsMeta(%s, postFilter: {chars_gt: 0}) { count } }" % (english, english, english))
+    want = [r[0] for r in docs.sql("select doc_id from documents where lang = 'en' and n_chars > 0").fetchall()]
+    assert len(want) > 1000 and sorted(int(x["id"]) for x in got["a"]) == sorted(want) and got["c"] == {"count": len(want)}
+    assert [(x["chars"], int(x["id"])) for x in got["b"]] == docs.sql("select n_chars, doc_id from documents where lang = 'en' order by 1 desc, doc_id::varchar").fetchall()
+
+
 def test_field_roles_and_limits(engine):
     r = engine.query("{ allOrders(first: 1, orderBy: key_DESC) { id secret } }", user=User(("x",)))
     assert r.data()["allOrders"] == [{"id": "2", "secret": None}] and r.problems[0].code == "PERMISSION_DENIED"
